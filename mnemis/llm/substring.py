@@ -7,7 +7,8 @@ place, before they are sent and again where they arrive. Each shard builds a com
 matrix of packed bits) over its distinct segments; backward search extends each window to the left, word by
 word, while it has another place, and those that reach full length are reported if a place is earlier.
 
-Words are held as 64-bit hashes of their bytes: two words of one corpus with equal hashes would be taken as one.
+Hashes only decide where windows go and which segments are merged; indexes hold the words themselves.
+Two different segments of equal 64-bit hash and length would be taken as one.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemis.llm.common import cut, map_rows, parts, short_batches, table
+from mnemis.llm.common import map_rows, parts, short_batches, table
 
 WINDOW, GRAM = 20, 8
 #: Segments of a key beyond which its windows are dealt one by one, by their own hash.
@@ -294,7 +296,7 @@ def _cut_segments(docs: DataFrame, again: DataFrame, shards: int, window: int, g
                 seg["id"] = (total[starts + counts] - total[starts]) * _powers(len(own), _INVERSE)[starts]
                 segs.append(seg)
                 to.append(np.where(single, own[starts], keys[starts]) % np.uint64(shards))
-                body += [h[s : s + c + window - 1] for s, c in zip(starts.tolist(), counts.tolist())]
+                body += [b" ".join(words[s : s + c + window - 1]) for s, c in zip(starts.tolist(), counts.tolist())]
             if segs:
                 seg, to = np.concatenate(segs), np.concatenate(to).astype(np.int64)
                 first = _first_of_each(seg)
@@ -308,7 +310,7 @@ def _cut_segments(docs: DataFrame, again: DataFrame, shards: int, window: int, g
                 for a, b in zip(cuts, [*cuts[1:], len(order)]):
                     out["shard"].append(int(to[order[a]]))
                     out["segments"].append(seg[order[a:b]].tobytes())
-                    out["words"].append(np.concatenate([body[i] for i in order[a:b].tolist()]).tobytes())
+                    out["words"].append(zstandard.compress(b" ".join([body[i] for i in order[a:b].tolist()]), 3))
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "segments": pa.array(out["segments"], pa.binary()), "words": pa.array(out["words"], pa.binary())})
 
     return docs.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(run, "shard int, segments binary, words binary")
@@ -327,7 +329,7 @@ _SEGMENT_OUT = np.dtype([("doc", "<i8"), ("minor", "<u8"), ("n", "<u4")])
 
 
 def search_shard(seg: np.ndarray, words: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The windows, as segments, that stand earlier too. seg: all segments of a shard; words: theirs, one after the other."""
+    """The windows, as segments, that stand earlier too. seg: all segments of a shard; words: theirs as numbers, one after the other."""
     size = seg["n"].astype(np.int64) + window - 1
     begin = np.cumsum(size) - size
     order = _order(seg["doc"], seg["minor"])
@@ -354,12 +356,15 @@ def search_shard(seg: np.ndarray, words: np.ndarray, window: int = WINDOW) -> np
 
 
 def _search(segments: DataFrame, buckets: int, window: int) -> DataFrame:
-    """bucket and packed covered windows, from the shards' indexes."""
+    """bucket and packed covered windows: from the shards' indexes, and those that were found in their own bucket."""
 
     def run(t: pa.Table) -> pa.Table:
         seg = np.concatenate([np.frombuffer(x, _SEGMENT) for x in t["segments"].to_pylist()])
-        words = np.concatenate([np.frombuffer(x, np.uint64) for x in t["words"].to_pylist()])
-        rows = list(_covered(search_shard(seg, words, window), buckets))
+        if t["shard"][0].as_py() >= 0:
+            number: dict[bytes, int] = {}
+            words = [number.setdefault(w, len(number)) for x in t["words"].to_pylist() for w in zstandard.decompress(x).split()]
+            seg = search_shard(seg, np.array(words, np.int64), window)
+        rows = list(_covered(seg, buckets)) if len(seg) else []
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "covered": pa.array([c for _, c in rows], pa.binary())})
 
     return segments.groupBy("shard").applyInArrow(run, "bucket int, covered binary")
@@ -388,16 +393,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     least = -(1 << 63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), "text")
     short_batches(spark)
-    again = cut(_again(_send_keys(docs, shards, window, gram), buckets))
-    dealt = docs.withColumn("bucket", _bucket_column(buckets))
-    cut_up = cut(_cut_segments(dealt, again, shards, window, gram))
-
-    def at_home(it: Iterator[tuple]) -> Iterator[tuple]:
-        for shard, segments, _ in it:
-            yield -1 - shard, np.frombuffer(segments, _SEGMENT)[["doc", "minor", "n"]].copy().astype(_SEGMENT_OUT).tobytes()
-
-    covered = _search(cut_up.filter("shard >= 0"), buckets, window).unionByName(map_rows(cut_up.filter("shard < 0"), at_home, "bucket int, covered binary"))
-    covered = cut(covered)
+    again = _again(_send_keys(docs, shards, window, gram), buckets)
+    dealt = docs.withColumn("bucket", _bucket_column(buckets))  # texts are dealt once: the exchange is used twice
+    covered = _search(_cut_segments(dealt, again, shards, window, gram), buckets, window)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         gone = np.concatenate([np.zeros(0, _SEGMENT_OUT), *(np.frombuffer(x, _SEGMENT_OUT) for x in right["covered"].to_pylist())])
