@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from mnemis.session import importable
+
 #: One word of a text: a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -25,10 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def short_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds of the rows on their way in, and lets local workers import this package."""
-    root = str(Path(__file__).parents[2])
-    found = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in found.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (found, root) if x)
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
