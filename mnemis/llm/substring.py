@@ -389,7 +389,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     An empty table gives no rows. kept joins words by one space.
     """
     spark = docs.sparkSession
-    shards = buckets = 4 * parts(spark)
+    shards = buckets = 2 * parts(spark)
     least = -(1 << 63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), "text")
     short_batches(spark)
