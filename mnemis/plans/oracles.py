@@ -185,3 +185,11 @@ SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY
     "trial_summary": "SELECT event_type, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, round(min(value), 4) AS least, round(max(value), 4) AS most, avg(value) > 0.05 AS passed FROM events GROUP BY 1",
     "eng_roundtrip": "SELECT 'c' || vec_id AS cache_id, 'vector ' || vec_id AS task_description, vec_id AS context_len, vec_id % 2 = 0 AS confusion_flag, 64 AS n_perdoc, 16 AS n_fourier, TRUE AS near FROM embeddings",
 }
+ORACLES |= {
+    "stream_doc_stats": ORACLES["doc_stats"],
+    "stream_confusions": ORACLES["confusion_registry"],
+    "stream_windowed": f"WITH {_LOG} SELECT strftime(ts, '%Y-%m-%d') AS day, confidence, count(*) AS n, count(*) FILTER (NOT correct) AS n_wrong FROM l GROUP BY 1, 2",
+    "stream_sessions": f"""WITH {_LOG}, g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY query_doc_id ORDER BY ts, event_id)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY query_doc_id ORDER BY ts, event_id) AS no FROM g)
+SELECT query_doc_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n, count(*) FILTER (correct) AS n_correct FROM k GROUP BY query_doc_id, no""",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +18,7 @@ from mnemis.functions.chunker import chunk_rows
 from mnemis.operators import fingerprint as fp
 from mnemis.operators import history, linalg, retrieve, search, store
 from mnemis.session import importable
+from mnemis.streaming import history as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -618,3 +621,40 @@ def state_blob_scan(spark, sf):
     files = _vectors(spark, sf).select("id", "vec").mapInPandas(blobs, "path string, content binary")
     cells = state_blob.cells_of(files, [state_blob.Section(2, 4)])
     return cells.select("path", "kind", "layer", "head", "cell", F.round(vx.total(vx.doubles(F.col("vec"))), 2).alias("x"))
+
+
+def _stream(spark, sf):
+    """The log as a stream of the table's files."""
+    importable(spark)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # As a pattern, the path may be one file or a folder of files.
+    return log_of(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"))
+
+
+def _folder(spark) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="mnemis-stream-")
+
+
+@query
+def stream_doc_stats(spark, sf):
+    out = live.drained(live.running_stats(_stream(spark, sf)), _folder(spark))
+    return out.select("query_doc_id", "n_high", "n_medium", "n_low", _r("reliability"), _at("last_updated"))
+
+
+@query
+def stream_confusions(spark, sf):
+    out = live.drained(live.running_confusions(_stream(spark, sf)), _folder(spark))
+    return out.select("doc_a", "doc_b", "n", _at("first_seen"), _at("last_seen"))
+
+
+@query
+def stream_windowed(spark, sf):
+    out = live.drained(live.windows(_stream(spark, sf)), _folder(spark))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "confidence", "n", "n_wrong")
+
+
+@query
+def stream_sessions(spark, sf):
+    out = live.drained(live.sessions(_stream(spark, sf)), _folder(spark))
+    return out.select("query_doc_id", _at("session_start"), "n", "n_correct")

@@ -51,3 +51,12 @@ def block_counter(rows: DataFrame, block: int = 256) -> DataFrame:
 def on_each_batch(view: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: insert-time work such as density checks, on the rows that came."""
     return lambda batch, number: sink(view(batch), number)
+
+
+def drained(view: DataFrame, folder: str) -> DataFrame:
+    """What a streaming aggregate holds after all input that is there now, written to the folder batch by batch."""
+    spark = view.sparkSession
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    q = view.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
