@@ -27,11 +27,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-#: Wider forms, without the base ones.
+#: Wider forms: other spellings, and what a base match that failed its check has run together.
 _MORE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{2,63}){1,4}", re.I),
-    "card": re.compile(r"(?<![0-9A-Za-z+.-])[0-9](?:[ -]?[0-9]){12,14}(?![0-9A-Za-z-])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
+    "card": re.compile(r"(?<![0-9A-Za-z+.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z-])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z+().-])(?:\+[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
 }
 #: Top-level domains, card issuers' first digits, words that announce a kind.
 TLDS = frozenset("com org net edu gov io de fr es it uk eu ch at info biz".split())
@@ -52,7 +52,7 @@ class Candidate(NamedTuple):
     start: int
     end: int
     base: bool
-    votes: tuple[int, ...]  # form, checksum, gazetteer, context: 1 for, -1 against, 0 none
+    votes: tuple[int, ...]  # form, checksum, gazetteer, context: 1 for, -1 against, 0 none; a wider form says nothing
 
 
 def luhn(digits: str) -> bool:
@@ -108,7 +108,7 @@ def _votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
         area = digits[-10:-7]
         check = 1 if len(digits) >= 10 and area[:1] not in ("0", "1") else -1
         known = 1 if span.startswith(("+", "(")) else 0
-    return (1 if base else -1, check, known, 1 if CUES[kind].search(text, max(0, start - _NEAR), start) else 0)
+    return (1 if base else 0, check, known, 1 if CUES[kind].search(text, max(0, start - _NEAR), start) else 0)
 
 
 def candidates(text: str) -> list[Candidate]:
