@@ -41,8 +41,8 @@ def _private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes, and its ids."""
-    return packing.pack(packing.pieces(docs), packing.groups_for(docs))
+    """Where each piece of each document goes, and its ids. Groups are smaller, as rows carry their ids."""
+    return packing.pack(packing.pieces(docs), packing.groups_for(docs, 4096))
 
 
 STAGES = [("quality_rules", _quality), ("near_dedup", _near_copies), ("substring_dedup", _passages), ("pii", _private), ("packing", _packed)]

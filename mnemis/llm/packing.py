@@ -48,6 +48,25 @@ def place(lengths: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
+def orders(lengths: np.ndarray, room: int) -> list[np.ndarray]:
+    """Orders to try, of lengths that fall: as they are; shuffled; and the large ones as they are, then the small ones shuffled."""
+    mixed = np.random.default_rng(0).permutation(len(lengths))
+    large = lengths > room // 7
+    return [np.arange(len(lengths)), mixed, np.concatenate([np.flatnonzero(large), mixed[~large[mixed]]])]
+
+
+def place_best(lengths: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
+    """`place` in the order, of those tried, that opens the fewest bins."""
+    best = None
+    for order in orders(lengths, room):
+        b, o = place(lengths[order], room)
+        if best is None or b.max(initial=-1) < best[0].max(initial=-1):
+            bins, offsets = np.empty_like(b), np.empty_like(o)
+            bins[order], offsets[order] = b, o
+            best = bins, offsets
+    return best
+
+
 def pieces(docs: DataFrame, room: int = ROOM, path: str | None = None, ranks: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids (packed): each text's ids and a closing id 0, cut only if over `room`.
 
@@ -73,14 +92,14 @@ def pieces(docs: DataFrame, room: int = ROOM, path: str | None = None, ranks: st
 def pack(rows: DataFrame, n_groups: int, room: int = ROOM) -> DataFrame:
     """rows with sequence_id and offset. rows: doc_id, piece and length, from 1 to `room`; other columns stay.
 
-    Rows are dealt by a hash of document and piece into n_groups groups. A group is packed alone,
-    longest first, ties by doc_id and piece, so what is lost doesn't grow beyond some sequences a group.
+    Rows are dealt by a hash of document and piece into n_groups groups. A group is packed alone, in the best of
+    a few orders, all from longest first, ties by doc_id and piece. What is lost is a sequence or so for each group.
     """
     group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, n_groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = place(pdf["length"].to_numpy(), room)
+        bins, offsets = place_best(pdf["length"].to_numpy(), room)
         return pdf.assign(sequence_id=pdf.pop("_group").to_numpy() * (1 << 32) + bins, offset=offsets)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
@@ -88,8 +107,8 @@ def pack(rows: DataFrame, n_groups: int, room: int = ROOM) -> DataFrame:
     return rows.withColumn("_group", group).groupBy("_group").applyInPandas(run, schema)
 
 
-def groups_for(docs: DataFrame) -> int:
-    return max(1, round(docs.count() / GROUP))
+def groups_for(docs: DataFrame, rows: int = GROUP) -> int:
+    return max(1, round(docs.count() / rows))
 
 
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

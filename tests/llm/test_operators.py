@@ -237,6 +237,16 @@ def test_placing_is_sum_of_squares():
         gaps[b] = gaps.get(b, 64) - size
 
 
+def test_best_order_keeps_places():
+    sizes = np.sort(np.random.default_rng(1).integers(1, 65, 400))[::-1]
+    bins, offsets = packing.place_best(sizes, 64)
+    assert bins.max() <= packing.place(sizes, 64)[0].max()
+    for b in range(bins.max() + 1):
+        own = np.flatnonzero(bins == b)
+        own = own[np.argsort(offsets[own])]
+        assert offsets[own].tolist() == [0, *np.cumsum(sizes[own]).tolist()][:-1] and sizes[own].sum() <= 64
+
+
 def test_pii_base(docs, texts, none):
     for t in texts.values():
         t, want = t or "", []
@@ -255,6 +265,9 @@ def test_pii_adds_what_labelers_agree_on():
     got = [(c.kind, c.base) for c in pii.spans_of("please call (234) 555-0199 or wait", model)]
     assert got == [("phone", False)]
     assert pii.spans_of("numbers 000-000-0000 here", model) == []
+    both = pii.train(np.array([pii.pattern_of(c) for c in pii.candidates("x +1 (234) 555-0100 4111111111111111 y 4111111111111112 z")]), np.array([20.0, 20.0, 5.0]))
+    found = pii.spans_of("at +1 (234) 555-0100 4111111111111111 or 4111111111111112", both)
+    assert [(c.kind, c.start, c.end) for c in found] == [("card", 21, 37), ("phone", 3, 20)]
     assert pii.masked("to a@b.cd now", pii.spans_of("to a@b.cd now", {})) == "to [EMAIL] now"
 
 
