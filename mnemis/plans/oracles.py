@@ -183,6 +183,9 @@ SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY
     "confusion_matrix": f"WITH {_NEAR} SELECT src, dst, count(*) AS n FROM h GROUP BY 1, 2",
     "margin_power_law": "WITH b AS (SELECT n, avg(m) AS m FROM (SELECT count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY o_custkey) GROUP BY n) SELECT round(exp(regr_intercept(ln(m), ln(n))), 2) AS a, round(regr_slope(ln(m), ln(n)), 6) AS alpha FROM b",
     "trial_summary": "SELECT event_type, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, round(min(value), 4) AS least, round(max(value), 4) AS most, avg(value) > 0.05 AS passed FROM events GROUP BY 1",
+    "model_specs": """SELECT id AS model_id, family, CAST(n - greatest(1, n // 4) AS INT) AS n_read, 2 * h * d AS dims FROM (VALUES
+('meta-llama/Llama-3.1-8B-Instruct', 'llama', 32, 8, 128), ('meta-llama/Llama-3.1-8B', 'llama', 32, 8, 128), ('microsoft/Phi-3-mini-128k-instruct', 'phi', 32, 32, 96), ('google/gemma-2-2b-it', 'gemma', 26, 4, 256),
+('Qwen/Qwen2.5-7B-Instruct', 'qwen', 28, 4, 128), ('mistralai/Mistral-7B-Instruct-v0.3', 'mistral', 32, 8, 128), ('google/gemma-4-26b-a4b-it', 'gemma', 30, 8, 256)) t(id, family, n, h, d)""",
     "eng_roundtrip": "SELECT 'c' || vec_id AS cache_id, 'vector ' || vec_id AS task_description, vec_id AS context_len, vec_id % 2 = 0 AS confusion_flag, 64 AS n_perdoc, 16 AS n_fourier, TRUE AS near FROM embeddings",
 }
 ORACLES |= {

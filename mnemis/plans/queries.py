@@ -18,6 +18,7 @@ from mnemis.functions.chunker import chunk_rows
 from mnemis.operators import fingerprint as fp
 from mnemis.operators import history, linalg, retrieve, search, store
 from mnemis.session import importable
+from mnemis.sources import models
 from mnemis.streaming import history as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -586,6 +587,14 @@ def trial_summary(spark, sf):
 # Formats and streams
 
 
+@query
+def model_specs(spark, sf):
+    """The known models, with what is derived from name and shape."""
+    importable(spark)
+    specs = models.registry(spark)
+    return specs.select("model_id", tx.family(F.col("model_id")).alias("family"), F.size(models.read_layers(F.col("n_layers"))).alias("n_read"), models.vector_dims(F.col("head_dim"), F.col("n_kv_heads")).alias("dims"))
+
+
 @query
 def eng_roundtrip(spark, sf):
     """Certificates of all vectors, encoded and decoded: what is read back."""

@@ -74,9 +74,9 @@ def test_chunks():
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("a/EIGEN_SPEC v1.md", 0, 3), ("coding--style!.md", 1, 1)], "p string, i int, n int")
+    df = spark.createDataFrame([("a/FORMAT_SPEC v1.md", 0, 3), ("coding--style!.md", 1, 1)], "p string, i int, n int")
     out = df.select(tx.slug(F.col("p")).alias("s"), tx.file_name(tx.slug(F.col("p")), F.lit("2026-01-02"), F.col("i"), F.col("n"), F.lit("0930")).alias("f")).collect()
-    assert [tuple(r) for r in out] == [("eigen-spec-v1", "eigen-spec-v1_001_2026-01-02_0930.eng"), ("coding-style", "coding-style_2026-01-02_0930.eng")]
+    assert [tuple(r) for r in out] == [("format-spec-v1", "format-spec-v1_001_2026-01-02_0930.eng"), ("coding-style", "coding-style_2026-01-02_0930.eng")]
 
 
 def test_fourier_matches_numpy(spark):
