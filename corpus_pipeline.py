@@ -16,15 +16,15 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document with the smallest doc_id; of rows that share it, one."""
-    heads = simhash.classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(heads, "doc_id", "left_semi").select(*docs.columns)
+    return simhash.heads(docs).select(*docs.columns)
 
 
 def _passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; those that lost words have what is left, joined by spaces."""
-    changed = substring.remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept")
-    text = F.coalesce("kept", "text").alias("text")
-    return docs.join(changed, "doc_id", "left").select(*(text if c == "text" else c for c in docs.columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = substring.remove_repeats(docs, carry=rest or ["doc_id"])
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")).alias("text")
+    return out.select("doc_id", text, *(F.col("row").getField(c).alias(c) for c in rest)).select(*docs.columns)
 
 
 def _private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

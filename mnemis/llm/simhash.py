@@ -40,14 +40,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp of each row of docs."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFrame:
+    """doc_id, fp and the long columns named in more, of each row of docs."""
 
     def run(it: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, text in it:
-            yield doc, fingerprint(text or "", shingle)
+        for doc, text, *rest in it:
+            yield doc, fingerprint(text or "", shingle), *rest
 
-    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_rows(docs.select("doc_id", "text", *more), run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
@@ -173,6 +173,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(state)
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """prints (fp and other columns) with root: the smallest fingerprint that theirs reaches over links."""
+    roots = components(links(prints.select("fp").distinct()))
+    rest = [c for c in prints.columns if c != "fp"]
+    return prints.join(roots, prints["fp"] == roots["node"], "left").select(*rest, "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints that link.
 
@@ -181,14 +188,26 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     one fingerprint before anything is paired. A null doc_id is never a component_id unless it is alone.
     An empty table gives no rows.
     """
-    prints = cut(fingerprints(docs, shingle))
-    distinct = prints.select("fp").distinct()
-    roots = components(links(distinct))
-    labelled = prints.join(roots, prints["fp"] == roots["node"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    labelled = _rooted(cut(fingerprints(docs, shingle)))
     low = cut(labelled.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return labelled.join(low, "root").select("doc_id", "fp", "component_id")
 
 
+def heads(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs that stand for their classes, whole, one for each class.
+
+    It is the row with the smallest doc_id, null last; of rows that share it, the one with the smallest hash of
+    its text; of rows that share both, any one. docs: doc_id, text and any columns but `_copy`. A class of null
+    doc_ids alone has its row too. An empty table gives no rows.
+    """
+    marked = docs.withColumn("_copy", F.xxhash64("text"))
+    prints = cut(fingerprints(marked, shingle, "_copy"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_copy")).alias("h")
+    chosen = cut(_rooted(prints).groupBy("root").agg(first).select(F.col("h.doc_id").alias("id"), F.col("h._copy").alias("copy")))
+    whole = marked.dropDuplicates(["doc_id", "_copy"])
+    return whole.join(chosen, whole["doc_id"].eqNullSafe(chosen["id"]) & (whole["_copy"] == chosen["copy"]), "left_semi").drop("_copy")
+
+
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each row of documents."""
     out = classes(table(spark, sf_dir, "documents"))

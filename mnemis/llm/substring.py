@@ -13,7 +13,7 @@ Two different segments of equal 64-bit hash and length would be taken as one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,15 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mnemis.llm.common import map_rows, parts, short_batches, table
+from mnemis.llm.common import parts, short_batches, table
 
 WINDOW, GRAM = 20, 8
 #: Segments of a key beyond which its windows are dealt one by one, by their own hash.
 HOT = 2000
-#: Words of documents that a task gathers before it sends keys on.
-FLUSH = 1 << 20
+#: Words of documents after which a task merges the keys it holds; bytes of text that a bucket is meant to get.
+FLUSH, BUCKET_BYTES = 1 << 20, 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,55 +200,63 @@ def _numbered(texts: list[str | None], docs: list[int]) -> list[tuple[int, int,
     return out
 
 
-def _send_keys(docs: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
-    """shard and packed (key, doc) of the segments, some million words at a time."""
+def _send_keys(dealt: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
+    """shard, bucket and packed (key, count) of the segments of a bucket of documents, each key once.
 
-    def flush(keys: list[np.ndarray], ids: list[int]) -> Iterator[tuple]:
-        key, doc = np.concatenate(keys), np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
-        shard = (key % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            at = order[a:b]
-            yield int(shard[at[0]]), key[at].tobytes(), doc[at].tobytes()
+    A key that is everywhere comes once from a bucket, however many documents hold it.
+    """
+
+    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key, which = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(which, np.concatenate(counts), len(key)).astype(np.int64)
 
-    def run(it: Iterator[tuple]) -> Iterator[tuple]:
-        keys, ids, size = [], [], 0
-        for doc, text in it:
+    def run(t: pa.Table) -> pa.Table:
+        keys, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for text in t["text"].to_pylist():
             words = (text or "").encode().split()
             if len(words) < window:
                 continue
             keys.append(key_places(word_hashes(words), window, gram))
-            ids.append(doc)
+            counts.append(np.ones(len(keys[-1]), np.int64))
             size += len(words)
             if size >= FLUSH:
-                yield from flush(keys, ids)
-                keys, ids, size = [], [], 0
-        if keys:
-            yield from flush(keys, ids)
+                key, count = merged(keys, counts)
+                keys, counts, size = [key], [count], 0
+        key, count = merged(keys, counts)
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
+        return pa.table({
+            "shard": pa.array([int(shard[r[0]]) for r in rows], pa.int32()), "bucket": pa.array([t["bucket"][0].as_py()] * len(rows), pa.int32()),
+            "keys": pa.array([key[r].tobytes() for r in rows], pa.binary()), "counts": pa.array([count[r].tobytes() for r in rows], pa.binary()),
+        })
 
-    return map_rows(docs.select("doc_id", "text"), run, "shard int, keys binary, docs binary", batch=256)
+    return dealt.groupBy("bucket").applyInArrow(run, "shard int, bucket int, keys binary, counts binary")
 
 
-def _again(sent: DataFrame, buckets: int) -> DataFrame:
-    """bucket of documents and packed (doc, key, hot) of the keys that occur more than once."""
+def _again(sent: DataFrame) -> DataFrame:
+    """bucket and packed (key, hot) of its keys that occur more than once in the corpus."""
 
     def run(t: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()])
-        doc = np.concatenate([np.frombuffer(x, np.int64) for x in t["docs"].to_pylist()])
+        parts_of = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        key, bucket = np.concatenate(parts_of), np.repeat(t["bucket"].to_numpy(), [len(x) for x in parts_of])
+        count = np.concatenate([np.frombuffer(x, np.int64) for x in t["counts"].to_pylist()])
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        counts = np.repeat(np.diff(np.append(cuts, len(key))), np.diff(np.append(cuts, len(key))))
-        many = counts > 1
-        key, doc, hot = key[many], doc[many], (counts[many] > HOT)
-        bucket = _bucket(doc, buckets)
+        key, bucket, count = key[order], bucket[order], count[order]
+        starts, size = runs(key)
+        total = np.repeat(np.add.reduceat(count, starts), size)
+        many = total > 1
+        key, bucket, hot = key[many], bucket[many], total[many] > HOT
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
-        return pa.table({"bucket": pa.array([int(bucket[r[0]]) for r in rows], pa.int32()), "docs": pa.array([doc[r].tobytes() for r in rows], pa.binary()), "keys": pa.array([key[r].tobytes() for r in rows], pa.binary()), "hot": pa.array([hot[r].tobytes() for r in rows], pa.binary())})
+        return pa.table({
+            "bucket": pa.array([int(bucket[r[0]]) for r in rows], pa.int32()),
+            "keys": pa.array([key[r].tobytes() for r in rows], pa.binary()), "hot": pa.array([hot[r].tobytes() for r in rows], pa.binary()),
+        })
 
-    return sent.groupBy("shard").applyInArrow(run, "bucket int, docs binary, keys binary, hot binary")
+    return sent.groupBy("shard").applyInArrow(run, "bucket int, keys binary, hot binary")
 
 
 def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
@@ -267,25 +276,23 @@ def _cut_segments(docs: DataFrame, again: DataFrame, shards: int, window: int, g
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"shard": [], "segments": [], "words": []}
         if len(right) and len(left):
-            at_doc = np.concatenate([np.frombuffer(x, np.int64) for x in right["docs"].to_pylist()])
-            at_key = np.concatenate([np.frombuffer(x, np.uint64) for x in right["keys"].to_pylist()])
-            at_hot = np.concatenate([np.frombuffer(x, bool) for x in right["hot"].to_pylist()])
-            order = np.lexsort((at_key, at_doc))
-            at_doc, at_key, at_hot = at_doc[order], at_key[order], at_hot[order]
+            known = np.concatenate([np.frombuffer(x, np.uint64) for x in right["keys"].to_pylist()])
+            known_hot = np.concatenate([np.frombuffer(x, bool) for x in right["hot"].to_pylist()])
+            order = np.argsort(known)
+            known, known_hot = known[order], known_hot[order]
             texts, ids = left["text"].to_pylist(), left["doc_id"].to_pylist()
             segs, to, body = [], [], []
             for i, doc, k in _numbered(texts, ids):
-                a, b = np.searchsorted(at_doc, doc, "left"), np.searchsorted(at_doc, doc, "right")
-                words = (texts[i] or "").encode().split() if b > a else []
+                words = (texts[i] or "").encode().split()
                 if len(words) < window:
                     continue
                 h = word_hashes(words)
                 keys = window_keys(h, window, gram)
-                own, known = _rolling(h, window), at_key[a:b]
+                own = _rolling(h, window)
                 starts, counts = runs(keys)
                 where = np.minimum(np.searchsorted(known, keys[starts]), len(known) - 1)
                 there = known[where] == keys[starts]
-                starts, counts, hot = starts[there], counts[there], at_hot[a:b][where[there]]
+                starts, counts, hot = starts[there], counts[there], known_hot[where[there]]
                 single = np.repeat(hot, np.where(hot, counts, 1))
                 per = np.where(hot, counts, 1)
                 offset = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
@@ -380,22 +387,31 @@ def kept_words(words: list[bytes], covered: list[tuple[int, int]], window: int)
     return [w for w, k in zip(words, keep.tolist()) if k]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words of each text less those of windows that stand earlier.
 
-    docs: doc_id and text; other columns are left out. Earlier is a smaller doc_id or, in one text, an earlier
+    docs: doc_id and text; other columns are left out, but for those that `carry` names, which come as the
+    fields of a struct `row` beside the whole `text`. Earlier is a smaller doc_id or, in one text, an earlier
     start; rows with one doc_id go by text, and of repeated rows one stays whole. Windows are judged on the
     input. A null text has no words; a null doc_id comes first. Texts of fewer than `window` words stay whole.
     An empty table gives no rows. kept joins words by one space.
+
+    Texts are dealt into buckets once, and the exchange is used three times. The number of buckets and shards
+    grows with the bytes of the texts, so what a task holds doesn't.
     """
     spark = docs.sparkSession
-    shards = buckets = 2 * parts(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = buckets = max(2 * parts(spark), -(-size // BUCKET_BYTES))
     least = -(1 << 63)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), "text")
+    row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), "text", *row)
     short_batches(spark)
-    again = _again(_send_keys(docs, shards, window, gram), buckets)
-    dealt = docs.withColumn("bucket", _bucket_column(buckets))  # texts are dealt once: the exchange is used twice
+    dealt = docs.withColumn("bucket", _bucket_column(buckets))
+    again = _again(_send_keys(dealt, shards, window, gram))
     covered = _search(_cut_segments(dealt, again, shards, window, gram), buckets, window)
+    schema = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept string")
+    if carry:
+        schema = T.StructType([*schema, *(docs.schema[c] for c in ("text", "row"))])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         gone = np.concatenate([np.zeros(0, _SEGMENT_OUT), *(np.frombuffer(x, _SEGMENT_OUT) for x in right["covered"].to_pylist())])
@@ -404,8 +420,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         texts, ids, rows = left["text"].to_pylist(), left["doc_id"].to_pylist(), []
         cuts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])) if len(own) else np.zeros(0, np.int64)
         spans = {tuple(own[a].tolist()): (a, b) for a, b in zip(cuts, [*cuts[1:], len(own)])}
-        low = np.uint64((1 << 40) - 1)
-        for i, doc, k in _numbered(texts, ids):
+        low, order = np.uint64((1 << 40) - 1), _numbered(texts, ids)
+        for i, doc, k in order:
             words = (texts[i] or "").encode().split()
             kept = words
             if (doc, k) in spans:
@@ -413,9 +429,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 kept = kept_words(words, list(zip((part["minor"] & low).tolist(), part["n"].tolist())), window)
             rows.append((None if doc == least else doc, len(words), len(words) - len(kept), b" ".join(kept).decode()))
         columns = list(zip(*rows)) or [[], [], [], []]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "n_words", "n_removed", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))})
+        out = {n: pa.array(c, t) for n, c, t in zip(("doc_id", "n_words", "n_removed", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))}
+        if carry:
+            at = pa.array([i for i, _, _ in order], pa.int64())
+            out |= {n: left[n].take(at) for n in ("text", "row")}
+        return pa.table(out)
 
-    return dealt.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return dealt.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(run, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

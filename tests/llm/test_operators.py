@@ -89,6 +89,22 @@ def test_substring_repeated_rows(spark):
     assert sorted((r["doc_id"] is None, r["n_removed"]) for r in rows) == [(False, 40), (False, 40), (True, 0)]
 
 
+def test_substring_carry(spark):
+    """Rows that share a doc_id keep their own text and columns."""
+    t, u = (" ".join(f"{x}{i}" for i in range(40)) for x in "tu")
+    rows = [(1, t, "a"), (5, t + "\nend", "b"), (5, u, "c"), (None, None, "d")]
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, kept string"), carry=["kept"])
+    got = sorted((r["row"]["kept"], r["doc_id"], r["text"], r["n_removed"], r["kept"]) for r in out.collect())
+    assert got == [("a", 1, t, 0, t), ("b", 5, t + "\nend", 40, "end"), ("c", 5, u, 0, u), ("d", None, None, 0, "")]
+
+
+def test_substring_many_buckets(docs, texts, monkeypatch):
+    """The number of buckets follows the bytes of the texts."""
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(substring, "FLUSH", 50)
+    assert {r[0]: tuple(r)[1:] for r in substring.remove_repeats(docs).collect()} == _removed(texts)
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(0)
     text = np.concatenate([[0], rng.integers(1, 4, 300)])
@@ -118,6 +134,16 @@ def test_simhash(docs, texts, none):
     assert simhash.classes(none).count() == 0
 
 
+def test_simhash_heads(spark):
+    """One row a class: null doc_ids come last, texts that share a doc_id are told apart."""
+    t, u, v = (" ".join(f"{x}{i}" for i in range(60)) for x in "tuv")
+    rows = [(None, t, "a"), (7, t, "b"), (7, u, "c"), (7, u, "c"), (None, v, "d"), (None, v, "d"), (9, None, "e"), (8, "", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = sorted((r["fp"], r["doc_id"]) for r in simhash.heads(df).collect())
+    assert got == [("b", 7), ("c", 7), ("d", None), ("f", 8)]
+    assert simhash.heads(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("hot", [20_000, 10])
 def test_simhash_links(spark, hot, monkeypatch):
     """Every chain of near fingerprints is one set, also when start segments are hot."""
