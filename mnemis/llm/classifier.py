@@ -14,9 +14,10 @@ from mnemis.llm.common import cut, map_rows, table
 
 #: Dimensions of a word vector, buckets that words are hashed to, forms of words, and neighbours on each side.
 DIM, BUCKETS, FORMS, NEAR = 32, 8192, 8, 2
-#: Labelled rows that the vectors and the network are fitted on, at most: those with the smallest hash of doc_id.
+#: Labelled rows that the network is fitted on, at most: those with the smallest hash of doc_id. Vectors are of all texts.
 TRAIN_ROWS = 4000
-MEMO, CHUNK = 200_000, 1 << 14
+#: Words remembered; words pooled at once; words whose neighbours are summed at once.
+MEMO, CHUNK, BATCH = 200_000, 1 << 14, 1 << 16
 
 
 def _index_vectors(n: int, seed: int) -> np.ndarray:
@@ -93,24 +94,55 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._logit(x) / self.temperature, -30, 30)))
 
 
-def _context(sample: DataFrame) -> np.ndarray:
-    """Sum of the index vectors of the neighbours of each bucket's words, over the sample, to unit length."""
-    index = _index_vectors(BUCKETS, 1)
+def _neighbours(codes: np.ndarray, index: np.ndarray, out: np.ndarray) -> None:
+    """Adds to each word's row of out the index vectors of its neighbours. Codes at BUCKETS part texts."""
+    v = index[codes]
+    s = np.zeros_like(v)
+    for k in range(1, NEAR + 1):
+        s[k:] += v[:-k]
+        s[:-k] += v[k:]
+    order = np.argsort(codes.astype(np.uint16), kind="stable")
+    sorted_codes = codes[order]
+    starts = np.flatnonzero(np.diff(sorted_codes, prepend=-1))
+    out[sorted_codes[starts]] += np.add.reduceat(s[order], starts, axis=0).astype(np.int64)
+
+
+def context(docs: DataFrame) -> np.ndarray:
+    """Sum of the index vectors of the neighbours of each bucket's words, over all texts of docs, to unit length.
+
+    A task sends a row for each bucket it met, at most BUCKETS; they are summed by bucket, so BUCKETS rows at most
+    come to the driver however large docs is. Sums are whole numbers, so their order doesn't matter.
+    """
+    index = np.concatenate([_index_vectors(BUCKETS, 1), np.zeros((1, DIM), np.float32)])
+    part = np.full(NEAR, BUCKETS, np.int64)
 
     def run(it: Iterator[tuple]) -> Iterator[tuple]:
-        out, codes = np.zeros((BUCKETS, DIM), np.float32), _Codes()
+        out, codes = np.zeros((BUCKETS + 1, DIM), np.int64), _Codes()
+        held, size = [], 0
         for (text,) in it:
-            for c in _chunks(text or "", codes):
-                b = c % BUCKETS
-                v = index[b]
-                for k in range(1, NEAR + 1):
-                    np.add.at(out, b[k:], v[:-k])
-                    np.add.at(out, b[:-k], v[k:])
-        yield (out.tobytes(),)
-
+            words = (text or "").split()
+            for i in range(0, len(words), BATCH):
+                if len(codes) > MEMO:
+                    codes.clear()
+                held.append(np.fromiter(map(codes.__getitem__, words[i : i + BATCH]), np.int64) % BUCKETS)
+                size += len(held[-1])
+                if size >= BATCH:
+                    whole = np.concatenate(held)
+                    _neighbours(whole, index, out)
+                    # The last words stay for those after them; what they met already is taken off again.
+                    held, size = [whole[-NEAR:]], 0
+                    _neighbours(held[0], -index, out)
+            held.append(part)
+        if held:
+            _neighbours(np.concatenate(held), index, out)
+        for b in np.flatnonzero(out[:BUCKETS].any(axis=1)).tolist():
+            yield b, *out[b].tolist()
+
+    names = [f"d{i}" for i in range(DIM)]
+    sums = map_rows(docs.select("text"), run, "b int, " + ", ".join(f"{c} long" for c in names))
     total = np.zeros((BUCKETS, DIM))
-    for (x,) in map_rows(sample.select("text").coalesce(8), run, "sums binary").collect():
-        total += np.frombuffer(x, np.float32).reshape(BUCKETS, DIM)
+    for b, *row in sums.groupBy("b").agg(*(F.sum(c) for c in names)).collect():
+        total[b] = row
     return (total / (np.linalg.norm(total, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
 
 
@@ -132,7 +164,7 @@ class Model:
         chosen = spark.createDataFrame(few, "doc_id long, quality int")
         sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # `rows` rows at most
         forms, words = _index_vectors(FORMS, 2), _index_vectors(BUCKETS, 1)
-        vectors = (2 * forms[:, None, :] + words[None] + 2 * _context(sample)[None]).reshape(-1, DIM)
+        vectors = (2 * forms[:, None, :] + words[None] + 2 * context(docs)[None]).reshape(-1, DIM)
 
         def run(it: Iterator[tuple]) -> Iterator[tuple]:
             codes = _Codes()

@@ -311,6 +311,21 @@ def test_classifier(spark, none):
     assert {r["score"] for r in classifier.Model.fit(docs, labels.limit(0)).score(docs).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("batch", [1 << 16, 7])
+def test_context_covers_all_texts(docs, texts, batch, monkeypatch):
+    monkeypatch.setattr(classifier, "BATCH", batch)
+    codes, index = classifier._Codes(), classifier._index_vectors(classifier.BUCKETS, 1)
+    want = np.zeros((classifier.BUCKETS, classifier.DIM))
+    for t in texts.values():
+        b = [codes[w] % classifier.BUCKETS for w in (t or "").split()]
+        for i, x in enumerate(b):
+            for j in range(max(0, i - classifier.NEAR), min(len(b), i + classifier.NEAR + 1)):
+                if j != i:
+                    want[x] += index[b[j]]
+    want = (want / (np.linalg.norm(want, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+    assert np.array_equal(classifier.context(docs), want)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((700, 64)).astype(np.float32)
