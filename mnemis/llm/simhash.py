@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemis.llm.common import cut, map_rows, parts, short_batches, table
@@ -19,19 +19,33 @@ WIDTHS = (13, 13, 13, 13, 12)
 SHIFTS = (0, 13, 26, 39, 52)
 #: Members of one start segment beyond which they are dealt by the next segment too; rows of a task; pairs at once.
 HOT, TASK_ROWS, PAIRS = 20_000, 100_000, 1 << 20
+#: The pipeline's rule: sets of shingles of five words with intersection / union of at least 4 / 5.
+STAGE_SHINGLE = 5
+#: Of the rarest-first order of shingles: one text in SAMPLE is counted, of what is common there the first COMMON are held. They change the cost only, never what is found.
+SAMPLE, COMMON = 16, 1 << 18
+#: Bytes of listed shingles of a task, partners that a set is first tried with, and slots of the filter of wanted texts.
+LISTED_BYTES, FIRST_TRIES, SLOTS = 16 << 20, 4, 1 << 20
 _ORDER = np.array([8 * (b // 8) + 7 - b % 8 for b in range(BITS)])
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint. Letters A-Z are lowered; a text shorter than a shingle is one; without words: 0."""
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's shingles in order. Letters A-Z are lowered; a text shorter than a shingle is one; without words: none."""
     words = text.encode().lower().split()
     n = len(words) - shingle + 1
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
     starts, h = [0, *ends[:-1]], xxhash.xxh64_intdigest
     spans = zip(starts, ends[shingle - 1 :]) if n > 0 else [(0, len(joined) + 1)]
-    hashes = np.fromiter((h(joined[a : b - 1], 42) for a, b in spans), np.uint64, max(n, 1))
+    return np.fromiter((h(joined[a : b - 1], 42) for a, b in spans), np.uint64, max(n, 1))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint; without words: 0."""
+    return _print(shingles(text, shingle))
+
+
+def _print(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8)).reshape(-1, BITS)
@@ -40,14 +54,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFrame:
-    """doc_id, fp and the long columns named in more, of each row of docs."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp of each row of docs."""
 
     def run(it: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, text, *rest in it:
-            yield doc, fingerprint(text or "", shingle), *rest
+        for doc, text in it:
+            yield doc, fingerprint(text or "", shingle)
 
-    return map_rows(docs.select("doc_id", "text", *more), run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
+    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
@@ -193,17 +207,215 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return labelled.join(low, "root").select("doc_id", "fp", "component_id")
 
 
-def heads(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stand for their classes, whole, one for each class.
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of texts repeats, sorted, and in how many of its texts they are."""
+
+    def run(it: Iterator[tuple]) -> Iterator[tuple]:
+        for (text,) in it:
+            yield from ((h,) for h in np.unique(shingles(text or "", STAGE_SHINGLE)).view(np.int64).tolist())
+
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counts = map_rows(some, run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r["h"] for r in counts], np.int64).view(np.uint64), np.array([r["n"] for r in counts], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _listed(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rarest first: sets with intersection / union >= 4 / 5 share one of theirs."""
+    n = np.zeros(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        n = np.where(common[at] == s, counts[at], 0)
+    return s[np.argsort(n, kind="stable")][: len(s) - -(-4 * len(s) // 5) + 1]
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall on each bit, odd or even: two sets differ in at least as many shingles as parities do in bits."""
+    n = max(64, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s % np.uint64(n)).astype(np.int64), minlength=n) & 1, bitorder="little")
+
+
+def _may_be_near(a: int, b: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """False only for sets of a and b shingles, of parities x and y, with intersection / union below 4 / 5."""
+    if 5 * min(a, b) < 4 * max(a, b):
+        return False
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum()) <= a + b
+
+
+def _sets_of(docs: DataFrame) -> DataFrame:
+    """doc_id, _copy, fp, node (hash of the set of shingles), size, parities and listed shingles of each row."""
+    common, counts = _common(docs)
+
+    def run(it: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, text, copy in it:
+            h = shingles(text or "", STAGE_SHINGLE)
+            s = np.unique(h)
+            node = xxhash.xxh64_intdigest(s.tobytes())
+            yield doc, copy, _print(h) if len(h) else 0, node - (1 << 64) if node >> 63 else node, len(s), _parity(s).tobytes(), _listed(s, common, counts).tobytes()
+
+    return map_rows(docs.select("doc_id", "text", "_copy"), run, "doc_id long, _copy long, fp long, node long, size long, bits binary, listed binary")
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """h, node, size: listed shingles that two sets or more list. sets: node, size, listed.
 
-    It is the row with the smallest doc_id, null last; of rows that share it, the one with the smallest hash of
-    its text; of rows that share both, any one. docs: doc_id, text and any columns but `_copy`. A class of null
-    doc_ids alone has its row too. An empty table gives no rows.
+    Shingles travel packed, in a row a task and batch.
+    """
+    spark = sets.sparkSession
+    tasks = max(parts(spark), (sets.agg(F.sum(F.length("listed"))).first()[0] or 0) // LISTED_BYTES)
+
+    def deal(it: Iterator[tuple]) -> Iterator[tuple]:
+        def flush(held: list[tuple]) -> Iterator[tuple]:
+            lens = [len(x[2]) // 8 for x in held]
+            h = np.frombuffer(b"".join(x[2] for x in held), np.uint64)
+            node, size = (np.repeat(np.array([x[i] for x in held], np.int64), lens) for i in (0, 1))
+            at = (h % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            h, node, size, at = h[order], node[order], size[order].astype(np.int32), at[order]
+            edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges, edges[1:]):
+                yield int(at[a]), h[a:b].tobytes(), node[a:b].tobytes(), size[a:b].tobytes()
+
+        held, n = [], 0
+        for row in it:
+            held.append(row)
+            n += len(row[2])
+            if n > LISTED_BYTES:
+                yield from flush(held)
+                held, n = [], 0
+        yield from flush(held)
+
+    def run(t: pa.Table) -> pa.Table:
+        h, node, size = (np.concatenate([np.frombuffer(x, k) for x in t[c].to_pylist()]) for c, k in (("h", np.uint64), ("node", np.int64), ("size", np.int32)))
+        order = np.lexsort((node, h))
+        h, node, size = h[order], node[order], size[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        h, node, size = h[new], node[new], size[new]
+        same = h[1:] == h[:-1]
+        more = np.append(same, False) | np.insert(same, 0, False)
+        return pa.table({"h": h[more].view(np.int64), "node": node[more], "size": size[more].astype(np.int64)})
+
+    dealt = map_rows(sets.select("node", "size", "listed"), deal, "at long, h binary, node binary, size binary", batch=64)
+    return dealt.groupBy("at").applyInArrow(run, "h long, node long, size long")
+
+
+def _first_tries(prints: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs u < v of sets that are likely near: over linked fingerprints, and some that share a listed shingle.
+
+    They only spare work: what they join need not be paired again.
+    """
+    node_of = cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    same = prints.select("fp", "node").distinct().join(node_of, "fp").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    edges = links(node_of.select("fp"))
+    ends = [node_of.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("u", "a"), ("v", "b"))]
+    near = edges.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    hub = shared.groupBy("h").agg(F.min_by("node", F.xxhash64("h", "node")).alias("u"))
+    order = Window.partitionBy("v").orderBy(F.xxhash64("h", "v"))
+    some = shared.select("h", F.col("node").alias("v")).join(hub, "h").filter("u <> v").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FIRST_TRIES)
+    both = same.unionByName(near).unionByName(some.select("u", "v")).filter("u <> v")
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs u < v of sets that share a listed shingle, may be near by their sizes and have not one root."""
+    rooted = shared.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
+
+    def run(t: pa.Table) -> pa.Table:
+        h, node, size, root = (t[c].to_numpy() for c in ("h", "node", "size", "root"))
+        order = np.lexsort((size, h))
+        h, node, size, root = h[order], node[order], size[order], root[order]
+        starts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist()]
+        out: list[np.ndarray] = []
+        for a, b in zip(starts, [*starts[1:], len(h)]):
+            s, r = size[a:b], root[a:b]
+            if (r == r[0]).all():
+                continue
+            top = np.searchsorted(4 * s, 5 * s, "right")
+            for i in range(b - a):
+                j = np.arange(i + 1, top[i])
+                j = j[r[j] != r[i]]
+                if len(j):
+                    out.append(np.stack([np.minimum(node[a + j], node[a + i]), np.maximum(node[a + j], node[a + i])]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
+        return pa.table({"u": pairs[0], "v": pairs[1]})
+
+    tasks = parts(shared.sparkSession)
+    return rooted.withColumn("at", F.pmod(F.xxhash64("h"), F.lit(tasks))).groupBy("at").applyInArrow(run, "u long, v long").distinct()
+
+
+def _near(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs u, v, those whose sets have intersection / union >= 4 / 5, counted. reps: node, size, bits, and id and copy of a row of docs.
+
+    What sizes and parities rule out is not counted.
+    """
+    known = lambda n: reps.select(F.col("node").alias(n), F.struct("size", "bits").alias(f"{n}s"))
+
+    def sift(it: Iterator[tuple]) -> Iterator[tuple]:
+        for u, v, x, y in it:
+            if _may_be_near(x["size"], y["size"], np.frombuffer(x["bits"], np.uint8), np.frombuffer(y["bits"], np.uint8)):
+                yield u, v
+
+    pairs = cut(map_rows(pairs.join(known("u"), "u").join(known("v"), "v").select("u", "v", "us", "vs"), sift, "u long, v long"))
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    rows = cut(reps.select("node", "id", "copy").join(asked, "node", "left_semi"))
+    wanted = np.zeros(SLOTS, bool)
+    wanted[[r[0] for r in rows.select(F.pmod("copy", F.lit(SLOTS))).distinct().collect()]] = True
+
+    def run(it: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, copy, text in it:
+            if wanted[copy % SLOTS]:
+                yield doc, copy, np.unique(shingles(text or "", STAGE_SHINGLE)).tobytes()
+
+    texts = map_rows(docs.select("doc_id", "_copy", "text"), run, "doc_id long, _copy long, s binary")
+    found = texts.join(rows, texts["doc_id"].eqNullSafe(rows["id"]) & (texts["_copy"] == rows["copy"])).select("node", "s")
+    sets = cut(found.dropDuplicates(["node"]))
+
+    def check(it: Iterator[tuple]) -> Iterator[tuple]:
+        for u, v, a, b in it:
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            if 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)):
+                yield u, v
+
+    side = lambda n, s: sets.select(F.col("node").alias(n), F.col("s").alias(s))
+    return cut(map_rows(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b"), check, "u long, v long"))
+
+
+def _near_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, _copy, node of each row of docs, and node, root of the nodes that are near to another, over any number of steps.
+
+    Candidates are what SimHash links and, as at four fifths fingerprints differ in more bits than it can index,
+    all pairs that share a listed shingle; each is counted before it links. None with four fifths is missed.
+    """
+    prints = cut(_sets_of(docs))
+    reps = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_copy")).alias("r"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    reps = cut(reps.select("node", "size", "bits", F.col("r.doc_id").alias("id"), F.col("r._copy").alias("copy")))
+    shared = cut(_shared(prints))
+    first = _near(_first_tries(prints, shared), reps, docs)
+    roots = components(first)
+    rest = _near(_open_pairs(shared, roots), reps, docs)
+    return prints.select("doc_id", "_copy", "node"), components(first.unionByName(rest))
+
+
+def heads(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their classes of near copies, whole, one for each class.
+
+    Near are texts whose sets of five-word shingles have intersection / union of at least 4 / 5; a class holds
+    what is near over any number of steps. The row is the one with the smallest doc_id, null last; of rows that
+    share it, the one with the smallest hash of its text; of rows that share both, any one. docs: doc_id, text
+    and any columns but `_copy`. Texts without words are one class. A class of null doc_ids alone has its row
+    too. An empty table gives no rows.
     """
     marked = docs.withColumn("_copy", F.xxhash64("text"))
-    prints = cut(fingerprints(marked, shingle, "_copy"))
+    prints, roots = _near_roots(marked)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_copy")).alias("h")
-    chosen = cut(_rooted(prints).groupBy("root").agg(first).select(F.col("h.doc_id").alias("id"), F.col("h._copy").alias("copy")))
+    rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = cut(rooted.groupBy("root").agg(first).select(F.col("h.doc_id").alias("id"), F.col("h._copy").alias("copy")))
     whole = marked.dropDuplicates(["doc_id", "_copy"])
     return whole.join(chosen, whole["doc_id"].eqNullSafe(chosen["id"]) & (whole["_copy"] == chosen["copy"]), "left_semi").drop("_copy")
 

@@ -144,6 +144,46 @@ def test_simhash_heads(spark):
     assert simhash.heads(df.limit(0)).count() == 0
 
 
+def _near_texts():
+    """Texts of 1 to 120 words with copies of 1 to 12 changed words; chains, and a cluster round one text."""
+    rng = random.Random(11)
+    say = lambda n: [rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n)]
+    out = []
+    for n in [1, 3, 4, 5, 6, 8, 9, 12, 30, 60, 120] * 4:
+        w = say(n)
+        out.append(w)
+        for _ in range(3):
+            w = list(w)
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(len(w))] = "new" + str(rng.randrange(1000))
+            out.append(w + say(rng.randrange(2)))
+    base = say(100)
+    for _ in range(40):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(len(w))] = "x" + str(rng.randrange(1000))
+        out.append(w)
+    rng.shuffle(out)
+    return [" ".join(w) for w in out]
+
+
+def test_near_copies_by_five_word_jaccard(spark):
+    """Every pair at 4 / 5 or more is linked and none below, against all pairs."""
+    texts = _near_texts()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+                far += (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)).bit_count() > 4
+    assert far > 10  # pairs that fingerprints alone would miss
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.heads(df).collect()) == sorted(set(root))
+
+
 @pytest.mark.parametrize("hot", [20_000, 10])
 def test_simhash_links(spark, hot, monkeypatch):
     """Every chain of near fingerprints is one set, also when start segments are hot."""
