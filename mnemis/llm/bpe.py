@@ -7,7 +7,8 @@ still change starts at most `lookahead` bytes back, the longest token's bytes le
 which the prefixes that end in this window agree are final, and are emitted.
 
 Pieces (words with their space, numbers, signs, white space) never share tokens; a space before
-anything but white space starts a piece. Texts are read in blocks and cut there.
+anything but white space starts a piece. Texts are read in blocks and cut there. Every piece goes through
+the transducer; what it gave for a short word is remembered.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ _PIECE = regex.compile(rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p
 _ODD_SPACE = regex.compile(rf" (?:[{_WS}]|$)")
 _CUT = regex.compile(rf" (?=[^{_WS}])")
 _KINDS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_WS}\p{{L}}\p{{N}}]+", rf"[{_WS}]+")]
-#: Characters of a block, of a piece that is streamed, and entries of the memo of short words.
-BLOCK, LONG, MEMO = 1 << 16, 64, 700_000
+#: Characters of a block, and entries of the memo of what the transducer gave for short words.
+BLOCK, MEMO = 1 << 16, 700_000
 #: Characters without a space beyond which the compiled library isn't asked: its time can grow with the square of a piece.
 RUN = 512
 
@@ -72,7 +73,9 @@ class Vocabulary:
             if i not in special and (len(b) == 1 or i in self.halves):
                 self.id_of[b] = i
         self.longest = max(map(len, self.id_of))
-        self.lengths = sorted({*map(len, self.id_of)}, reverse=True)
+        lengths = sorted({*map(len, self.id_of)}, reverse=True)
+        #: Lengths of tokens that fit in so many bytes, longest first.
+        self.lengths = [[n for n in lengths if n <= p] for p in range(self.longest + 1)]
         self.lookahead = self.longest - 1
         self.of_byte = [self.id_of[bytes([b])] for b in range(256)]
         self.good: dict[tuple[int, int], bool] = {}
@@ -117,25 +120,9 @@ class Vocabulary:
                 j += 1
 
     def piece(self, data: bytes) -> list[int]:
-        """Tokens of a whole piece. A short one is merged as listed, the lowest rank first and leftmost; a long one streamed."""
-        whole = self.id_of.get(data)
-        if whole is not None:
-            return [whole]
-        if len(data) > LONG:
-            stream = PieceStream(self)
-            return [*stream.feed(data), *stream.finish()]
-        rank, none = self.rank.get, 1 << 40
-        ids = [self.of_byte[b] for b in data]
-        ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
-        while ranks and (lowest := min(ranks)) < none:
-            i = ranks.index(lowest)
-            ids[i : i + 2] = [self.made[lowest]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), none)
-            if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
-        return ids
+        """Tokens of a whole piece, by the transducer whatever its length."""
+        stream = PieceStream(self)
+        return [*stream.feed(data), *stream.finish()]
 
     def _piece(self, text: str) -> bytes:
         return b"".join([self.four[i] for i in self.piece(text.encode())])
@@ -191,25 +178,22 @@ class PieceStream:
 
     def feed(self, data: bytes) -> list[int]:
         """last[p], back[p]: the last token of the prefix that ends at p, and where it starts."""
-        v = self.v
+        v, known = self.v, self.v.good
         start, self.data = len(self.data), self.data + data
-        out: list[int] = []
-        for p in range(start + 1, len(self.data) + 1):
-            for size in v.lengths:
-                if size > p:
-                    continue
-                token = v.id_of.get(self.data[p - size : p])
+        data, last, back, longest, of = self.data, self.last, self.back, v.longest, v.id_of.get
+        for p in range(start + 1, len(data) + 1):
+            for size in v.lengths[p if p < longest else longest]:
+                token = of(data[p - size : p])
                 if token is not None:
-                    before = self.last[p - size]
-                    if before is not None and v.neighbours(before, token) or before is None and (p == size) and self.last[0] is None:
+                    before = last[p - size]
+                    if before is None:  # the piece starts here
                         break
-            else:
-                raise AssertionError("a prefix without tokens")
-            self.last.append(token)
-            self.back.append(p - size)
-        if len(self.data) > 8 * v.longest:
-            out = self._final()
-        return out
+                    fits = known.get((before, token))
+                    if fits or fits is None and v.neighbours(before, token):
+                        break
+            last.append(token)
+            back.append(p - size)
+        return self._final() if len(data) > 8 * longest else []
 
     def _path(self, end: int, start: int) -> list[int]:
         out = []
@@ -372,10 +356,24 @@ def vocabulary(path: str, ranks: str | None = None) -> Vocabulary:
     return Vocabulary(path, known.encode_ordinary)
 
 
+def _blocks(text: str, v: Vocabulary, block: int) -> Iterator[bytes]:
+    e = Encoder(v)
+    for i in range(0, len(text), block):
+        yield e.feed(text[i : i + block])
+    yield e.finish()
+
+
 def encode(text: str, v: Vocabulary, block: int = BLOCK) -> bytes:
     """All ids of a text, packed. Read in blocks; only the ids grow with the text."""
-    e = Encoder(v)
-    return b"".join([*(e.feed(text[i : i + block]) for i in range(0, len(text), block)), e.finish()])
+    return b"".join(_blocks(text, v, block))
+
+
+def round_trip(text: str, v: Vocabulary, decoder: Decoder, block: int = BLOCK) -> Iterator[tuple[np.ndarray, str]]:
+    """The ids of a text and the text that they decode to, in blocks as they get final. Nothing else is held."""
+    for ids in _blocks(text, v, block):
+        numbers = np.frombuffer(ids, "<u4")
+        yield numbers, decoder.feed(numbers.tolist())
+    yield np.zeros(0, "<u4"), decoder.finish()
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -397,24 +395,34 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         v = vocabulary(path)
         decoder = Decoder(v)
         for doc, text in it:
-            ids = encode(text or "", v)
-            numbers = np.frombuffer(ids, "<u4")
-            shown = [decoder.feed(numbers[i : i + BLOCK].tolist()) for i in range(0, len(numbers), BLOCK)]
-            yield doc, ids, "".join(shown) + decoder.finish()
+            ids, shown = zip(*round_trip(text or "", v, decoder))
+            yield doc, b"".join(x.tobytes() for x in ids), "".join(shown)
 
     return map_rows(docs.select("doc_id", "text"), run, "doc_id long, ids binary, decoded string", batch=512)
 
 
+def digests(docs: DataFrame, path: str | None = None, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 of each text, as `encode_decode` has them.
+
+    Blocks are encoded, decoded and digested one after the other, so what is held doesn't grow with a text.
+    """
+    path = path or default_path()
+
+    def run(it: Iterator[tuple]) -> Iterator[tuple]:
+        v = vocabulary(path)
+        decoder, names = Decoder(v), [b",%d" % i for i in range(max(v.bytes_of) + 1)]
+        for doc, text in it:
+            n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+            for ids, shown in round_trip(text or "", v, decoder, block):
+                joined = b"".join([names[i] for i in ids.tolist()])
+                of_ids.update(joined if n else joined[1:])
+                of_text.update(shown.encode())
+                n += len(ids)
+            yield doc, n, of_ids.hexdigest(), of_text.hexdigest()
+
+    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded texts of documents."""
-
-    def digest(it: Iterator[tuple]) -> Iterator[tuple]:
-        names: list[str] = []
-        for doc, ids, decoded in it:
-            numbers = np.frombuffer(ids, "<u4").tolist()
-            if not names:
-                names = [str(i) for i in range(1 << 16)]
-            joined = ",".join([names[i] for i in numbers])
-            yield doc, len(numbers), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-
-    return map_rows(encode_decode(table(spark, sf_dir, "documents")), digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """Digests of the ids and of the decoded texts of documents. A null text is empty; rows are judged alone."""
+    return digests(table(spark, sf_dir, "documents"))

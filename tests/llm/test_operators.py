@@ -79,7 +79,8 @@ def _removed(texts, window=20):
 def test_substring(docs, texts, none, hot, monkeypatch):
     monkeypatch.setattr(substring, "HOT", hot)
     got = {r[0]: tuple(r)[1:] for r in substring.remove_repeats(docs).collect()}
-    assert got == _removed(texts)
+    assert {i: r[:3] for i, r in got.items()} == _removed(texts)
+    assert all(sum(b - a for a, b in r[3]) == r[1] for r in got.values())
     assert substring.remove_repeats(none).count() == 0
 
 
@@ -102,15 +103,15 @@ def test_substring_many_buckets(docs, texts, monkeypatch):
     """The number of buckets follows the bytes of the texts."""
     monkeypatch.setattr(substring, "BUCKET_BYTES", 1000)
     monkeypatch.setattr(substring, "FLUSH", 50)
-    assert {r[0]: tuple(r)[1:] for r in substring.remove_repeats(docs).collect()} == _removed(texts)
+    assert {r[0]: tuple(r)[1:4] for r in substring.remove_repeats(docs).collect()} == _removed(texts)
 
 
 def test_fm_index_counts():
     rng = np.random.default_rng(0)
-    text = np.concatenate([[0], rng.integers(1, 4, 300)])
-    fm = substring.FMIndex(text, 6)
+    text = np.concatenate([rng.integers(1, 4, 300), [0]])
+    fm = substring.FMIndex(text)
     for n in range(2, 7):
-        for start in range(1, 60):
+        for start in range(60):
             p = text[start : start + n]
             low, high = np.array([fm.first[p[-1]]]), np.array([fm.first[p[-1] + 1]])
             for c in p[-2::-1]:
@@ -118,6 +119,31 @@ def test_fm_index_counts():
             assert high[0] - low[0] == sum(np.array_equal(text[i : i + n], p) for i in range(len(text) - n + 1))
 
 
+def test_matching_statistics():
+    """Against all places, also with texts that stand more than once and are indexed once."""
+    rng = np.random.default_rng(4)
+    text = np.concatenate([rng.integers(2, 5, 60), [1], rng.integers(2, 5, 60), [2] * 70, [0]])
+    fm = substring.FMIndex(text)
+    ends = np.array([i for i in range(5, len(text)) if min(text[i - 4 : i + 1]) > 1])
+    for least in (1, 2):
+        length, low, high = substring.matching_statistics(fm, text, ends, 5, np.full(len(ends), least))
+        first = substring.first_places(fm, low[length == 5], high[length == 5]).tolist()
+        for end, n in zip(ends.tolist(), length.tolist()):
+            places = lambda k: [i for i in range(len(text) - k + 1) if np.array_equal(text[i : i + k], text[end - k + 1 : end + 1])]
+            assert n == max(k for k in range(6) if k == 0 or len(places(k)) >= least)
+            if n == 5:
+                assert first.pop(0) == places(5)[0]
+    assert sorted(fm.locate(np.arange(len(text))).tolist()) == list(range(len(text)))
+
+
+def test_equal_hashes_are_not_equal_words(monkeypatch):
+    """Segments whose hashes agree are compared by their words."""
+    seg = np.zeros(3, substring._SEGMENT)
+    seg["doc"], seg["n"], seg["id"], seg["text"] = [1, 2, 3], 1, 7, [0, 1, 2]
+    found = substring.search_shard(seg, np.array([0, 1, 2, 0, 1, 3, 0, 1, 3]), 3)
+    assert found["doc"].tolist() == [3]
+
+
 def test_simhash(docs, texts, none):
     prints = {}
     for i, t in texts.items():
@@ -238,6 +264,32 @@ def test_bpe_streams_in_any_blocks(monkeypatch):
                 assert np.frombuffer(bpe.encode(s, v, block), "<u4").tolist() == want, (size, block, s)
 
 
+def test_every_piece_goes_through_the_transducer(texts, monkeypatch):
+    """Pieces of any length are fed to a stream, all of their bytes, before their tokens are known."""
+    v, fed = bpe.Vocabulary(bpe.default_path()), []
+    feed = bpe.PieceStream.feed
+    monkeypatch.setattr(bpe.PieceStream, "feed", lambda self, data: fed.append(data) or feed(self, data))
+    seen = set()
+    for text in texts.values():
+        text = text or ""
+        if v.mark.search(text):
+            continue
+        bpe.encode(text, v)
+        seen |= {m[0].encode() for m in bpe._PIECE.finditer(text)}
+    assert seen == set(fed) and len(seen) > 300
+
+
+def test_tokens_are_emitted_within_the_lookahead():
+    """A piece of any length holds a bounded window: what is emitted is all but the last few tokens."""
+    v, rng = bpe.vocabulary(bpe.default_path()), random.Random(2)
+    word, stream, out = "".join(rng.choice("abcdefgh") for _ in range(20_000)).encode(), bpe.PieceStream(v), []
+    for i in range(0, len(word), 500):
+        out += stream.feed(word[i : i + 500])
+        assert len(stream.data) <= 8 * v.longest + 500
+    assert out + stream.finish() == v.piece(word)
+    assert v.lookahead == max(len(b) for b in v.id_of) - 1
+
+
 def test_decoder_broken_bytes():
     v = bpe.vocabulary(bpe.default_path())
     one = {b: v.id_of[bytes([b])] for b in range(256)}
