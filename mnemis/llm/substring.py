@@ -2,13 +2,13 @@
 
 A window is `WINDOW` consecutive words. Equal windows share their smallest gram hash, the window's key, so
 windows are dealt by key, and windows with an equal key that lie side by side travel as one segment.
-Keys that occur once can't repeat and go no further. Segments with equal words are merged, keeping the first
-place, before they are sent and again where they arrive. Each shard builds a compressed FM-index (wavelet
-matrix of packed bits) over its distinct segments; backward search extends each window to the left, word by
-word, while it has another place, and those that reach full length are reported if a place is earlier.
+Keys that occur once can't repeat and go no further. Of segments with equal words, the words are sent once and
+the places of all. Each shard builds a compressed FM-index over its distinct segments (wavelet matrix of packed
+bits, every fourth place of the suffix order kept) and streams them against it: backward search extends each
+window to the left, word by word, which gives its matching statistic, the number of its last words that stand
+elsewhere too. Windows whose statistic reaches the threshold are reported if the index has an earlier place.
 
-Hashes only decide where windows go and which segments are merged; indexes hold the words themselves.
-Two different segments of equal 64-bit hash and length would be taken as one.
+Hashes only decide where windows go and which words are compared; words are compared before they are taken as one.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mnemis.llm.common import parts, short_batches, table
 
@@ -89,54 +90,81 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(keys)]]))
 
 
+#: Every so many places of a text are kept in its index; windows searched at once, places located at once.
+KEPT, SEARCHED, LOCATED = 4, 1 << 17, 1 << 20
+
+
+class _Bits:
+    """Packed bits with the number of ones before each 64."""
+
+    def __init__(self, bits: np.ndarray):
+        packed, padded = np.packbits(bits.astype(np.uint8), bitorder="little"), np.zeros(8 * (len(bits) // 64 + 1), np.uint8)
+        padded[: len(packed)] = packed
+        self.words = padded.view(np.uint64)
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.uint32)
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        below = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.ones[word].astype(np.int64) + np.bitwise_count(below)
+
+    def at(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Places of the suffixes of text in order, by doubling; only what is still tied is sorted again."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    first = np.flatnonzero(np.diff(text[order], prepend=text[order[0]] - 1))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+    rows, k = np.arange(n), 1
+    while True:
+        own = rank[order[rows]]
+        tied = np.append(own[1:] == own[:-1], False) | np.insert(own[1:] == own[:-1], 0, False)
+        rows = rows[tied]
+        if not len(rows):
+            return order
+        at = order[rows]
+        pair = rank[at] * (n + 1) + np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        by = np.argsort(pair, kind="stable")
+        pair, order[rows] = pair[by], at[by]
+        first = np.flatnonzero(np.diff(pair, prepend=pair[0] - 1))
+        rank[at[by]] = np.repeat(rows[first], np.diff(np.append(first, len(rows))))
+        k *= 2
+
+
 class FMIndex:
-    """FM-index over word numbers, for patterns of at most `depth` words.
+    """FM-index over word numbers. The text ends with its only 0.
 
-    Suffixes are sorted by their first `depth` + 1 or more words, which is all that such patterns can tell
-    apart. The last column is a wavelet matrix: a level of packed bits for each bit of a number, with ranks
-    kept for each 64 bits.
+    The last column is a wavelet matrix: a level of packed bits for each bit of a number. Of the suffix order
+    only places divisible by KEPT stay; others are found by walking back to one.
     """
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray):
+        order = suffix_order(text)
         n = len(text)
-        order, rank, k = None, text.astype(np.int64), 1
-        while True:
-            ahead = np.zeros(n, np.int64)
-            ahead[:-k or None] = rank[k:] + 1 if k < n else 0
-            pair = rank * (int(rank.max()) + 2) + ahead
-            order = np.argsort(pair, kind="stable")
-            s = pair[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-            k *= 2
-            if k > depth:
-                break
-        self.order, self.n = order, n
-        last = text[order - 1]  # the text is read as a ring; it starts with a separator
+        self.kept = _Bits(order % KEPT == 0)
+        self.places = order[order % KEPT == 0].astype(np.uint32)
+        current = text[order - 1].astype(np.int64)
         self.sigma = int(text.max()) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.sigma))])
-        self.levels = max(1, (self.sigma - 1).bit_length())
-        self.words, self.ranks, self.zeros = [], [], []
-        current = last.astype(np.int64)
-        for level in range(self.levels - 1, -1, -1):
+        self.levels, self.zeros = [], []
+        for level in range(max(1, (self.sigma - 1).bit_length()) - 1, -1, -1):
             bit = (current >> level) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
-            padded = np.zeros(8 * (n // 64 + 1), np.uint8)
-            padded[: len(packed)] = packed
-            words = padded.view(np.uint64)
-            self.words.append(words)
-            self.ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words))[:-1]]).astype(np.int64))
+            self.levels.append(_Bits(bit))
             self.zeros.append(int(n - bit.sum()))
             current = np.concatenate([current[bit == 0], current[bit == 1]])
         symbols = np.arange(self.sigma)
         self.base = self._down(symbols, np.zeros(self.sigma, np.int64))
 
     def _down(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for j, level in enumerate(range(self.levels - 1, -1, -1)):
-            word = at >> 6
-            below = self.words[j][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.ranks[j][word] + np.bitwise_count(below)
-            at = np.where((symbols >> level) & 1, self.zeros[j] + ones, at - ones)
+        top = len(self.levels) - 1
+        for j, bits in enumerate(self.levels):
+            ones = bits.before(at)
+            at = np.where((symbols >> (top - j)) & 1, self.zeros[j] + ones, at - ones)
         return at
 
     def back(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,51 +173,68 @@ class FMIndex:
         both += np.tile(self.first[symbols], 2)
         return both[: len(low)], both[len(low) :]
 
+    def _before(self, rows: np.ndarray) -> np.ndarray:
+        """The row of the suffix that starts one word earlier."""
+        at, symbols = rows, np.zeros(len(rows), np.int64)
+        for j, bits in enumerate(self.levels):
+            one, ones = bits.at(at), bits.before(at)
+            symbols = 2 * symbols + one
+            at = np.where(one, self.zeros[j] + ones, at - ones)
+        return at - self.base[symbols] + self.first[symbols]
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The places in the text of rows of the suffix order."""
+        out, open_, rows = np.zeros(len(rows), np.int64), np.arange(len(rows)), rows.copy()
+        for step in range(KEPT):
+            there = self.kept.at(rows)
+            out[open_[there]] = self.places[self.kept.before(rows[there])] + np.int64(step)
+            open_, rows = open_[~there], rows[~there]
+            if not len(open_):
+                break
+            rows = self._before(rows)
+        return out
 
-def repeated(text: np.ndarray, ends: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
-    """Which of the windows of text that end at `ends` also stand at a place earlier than their own.
 
-    text: word numbers from 1, 0 between segments and first. place: for each position of text, its rank in the
-    order of the corpus. Backward search: a window is extended to the left while it has two places or more;
-    the length it reaches is its matching statistic against the other places, held at `window`.
-    """
-    fm = FMIndex(text, window)
-    low, high = fm.first[text[ends]], fm.first[text[ends] + 1]
-    alive = np.arange(len(ends))
-    for step in range(1, window):
-        more = high - low > 1
+def matching_statistics(fm: FMIndex, text: np.ndarray, ends: np.ndarray, longest: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each end, how many words of text up to it, `longest` at most, the index has at `least` places or more, by
+    backward search; and the range of rows of those that reach `longest`."""
+    length, low, high = np.zeros(len(ends), np.int64), fm.first[text[ends]], fm.first[text[ends] + 1]
+    from_, to, alive = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.arange(len(ends))
+    for step in range(1, longest + 1):
+        more = high - low >= least[alive]
         alive, low, high = alive[more], low[more], high[more]
-        if not len(alive):
-            return np.zeros(0, np.int64)
+        length[alive] = step
+        if step == longest or not len(alive):
+            break
         low, high = fm.back(text[ends[alive] - step], low, high)
-    more = high - low > 1
-    alive, low, high = alive[more], low[more], high[more]
-    if not len(alive):
-        return alive
+    if len(alive):
+        from_[alive], to[alive] = low, high
+    return length, from_, to
+
+
+def first_places(fm: FMIndex, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The first place in the text of each range of rows. Ranges are equal or apart."""
     found, which = np.unique(low, return_inverse=True)
-    till = np.zeros(len(found), np.int64)
-    till[which] = high
-    where = place[fm.order]
-    first = np.minimum.reduceat(np.append(where, np.iinfo(where.dtype).max), np.stack([found, till], 1).ravel())[::2][which]
-    starts = ends[alive] - window + 1
-    return alive[first < place[starts]]
+    size = np.zeros(len(found), np.int64)
+    size[which] = high - low
+    begin, out, done = np.cumsum(size) - size, np.zeros(len(found), np.int64), 0
+    while done < len(found):
+        n = max(1, int(np.searchsorted(begin + size - begin[done], LOCATED, "right")) - done)
+        part, start = size[done : done + n], begin[done : done + n] - begin[done]
+        rows = np.repeat(found[done : done + n] - start, part) + np.arange(part.sum())
+        out[done : done + n] = np.minimum.reduceat(fm.locate(rows), start)
+        done += n
+    return out[which]
 
 
-_SEGMENT = np.dtype([("doc", "<i8"), ("minor", "<u8"), ("n", "<u4"), ("id", "<u8")])
+#: A segment: its document, place in it, number of windows, hash of its words, and which of its row's texts it has.
+_SEGMENT = np.dtype([("doc", "<i8"), ("minor", "<u8"), ("n", "<u4"), ("id", "<u8"), ("text", "<u4")])
 
 
 def _order(doc: np.ndarray, minor: np.ndarray) -> np.ndarray:
     return np.lexsort((minor, doc))
 
 
-def _first_of_each(seg: np.ndarray) -> np.ndarray:
-    """Which segments, sorted by place, are the first with their words."""
-    _, at = np.unique(seg[["id", "n"]], return_index=True)
-    out = np.zeros(len(seg), bool)
-    out[at] = True
-    return out
-
-
 def _numbered(texts: list[str | None], docs: list[int]) -> list[tuple[int, int, int]]:
     """(row, doc, number among the rows with this doc_id, in order of text): ties have an order."""
     out, last, k = [], None, 0
@@ -271,7 +316,7 @@ def _bucket_column(buckets: int) -> Column:
 
 
 def _cut_segments(docs: DataFrame, again: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
-    """shard, packed segments and their words; shard -1 - bucket: segments that repeat one of their own bucket."""
+    """shard, packed segments, and the words of their distinct texts, one text after the other."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"shard": [], "segments": [], "words": []}
@@ -306,18 +351,14 @@ def _cut_segments(docs: DataFrame, again: DataFrame, shards: int, window: int, g
                 body += [b" ".join(words[s : s + c + window - 1]) for s, c in zip(starts.tolist(), counts.tolist())]
             if segs:
                 seg, to = np.concatenate(segs), np.concatenate(to).astype(np.int64)
-                first = _first_of_each(seg)
-                if not first.all():
-                    out["shard"].append(-1 - left["bucket"][0].as_py())
-                    out["segments"].append(seg[~first].tobytes())
-                    out["words"].append(b"")
-                order = np.flatnonzero(first)
-                order = order[np.argsort(to[order], kind="stable")]
+                order = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
                 for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                    own, number = seg[order[a:b]], {}
+                    own["text"] = [number.setdefault(body[i], len(number)) for i in order[a:b].tolist()]
                     out["shard"].append(int(to[order[a]]))
-                    out["segments"].append(seg[order[a:b]].tobytes())
-                    out["words"].append(zstandard.compress(b" ".join([body[i] for i in order[a:b].tolist()]), 3))
+                    out["segments"].append(own.tobytes())
+                    out["words"].append(zstandard.compress(b" ".join(number), 3))
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "segments": pa.array(out["segments"], pa.binary()), "words": pa.array(out["words"], pa.binary())})
 
     return docs.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(run, "shard int, segments binary, words binary")
@@ -335,60 +376,104 @@ def _covered(seg: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
 _SEGMENT_OUT = np.dtype([("doc", "<i8"), ("minor", "<u8"), ("n", "<u4")])
 
 
+def _merged(words: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each text the first with the same hash and length, if their words are equal; else itself."""
+    order = np.lexsort((size, ids))
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order[1:]] != ids[order[:-1]]) | (size[order[1:]] != size[order[:-1]])
+    out = np.empty(len(order), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
+    again = np.flatnonzero(out != np.arange(len(out)))
+    if len(again):
+        n = size[again]
+        start = np.cumsum(n) - n
+        inside = np.arange(n.sum()) - np.repeat(start, n)
+        same = np.logical_and.reduceat(words[np.repeat(begin[again], n) + inside] == words[np.repeat(begin[out[again]], n) + inside], start)
+        out[again[~same]] = again[~same]
+    return out
+
+
 def search_shard(seg: np.ndarray, words: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The windows, as segments, that stand earlier too. seg: all segments of a shard; words: theirs as numbers, one after the other."""
-    size = seg["n"].astype(np.int64) + window - 1
+    """The windows, as segments, that stand earlier too.
+
+    seg: all segments of a shard, each naming its text; words: the texts as numbers, one after the other.
+    """
+    own = seg["text"].astype(np.int64)
+    _, one = np.unique(own, return_index=True)
+    size = seg["n"][one].astype(np.int64) + window - 1
     begin = np.cumsum(size) - size
-    order = _order(seg["doc"], seg["minor"])
-    first = order[_first_of_each(seg[order])]
-    out = [np.delete(seg, first)]
-    size, begin, seg = size[first], begin[first], seg[first]
-    total = int(size.sum())
-    inside = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-    _, numbers = np.unique(words[np.repeat(begin, size) + inside], return_inverse=True)
-    head = np.cumsum(size + 1) - size  # where each segment starts in the text: a separator comes before
-    text = np.zeros(total + len(size), np.int64)
-    text[np.repeat(head, size) + inside] = numbers + 1
-    place = np.full(len(text), np.iinfo(np.int64).max)
-    n = seg["n"].astype(np.int64)
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = np.repeat(head, n) + inner
-    doc, minor = np.repeat(seg["doc"], n), np.repeat(seg["minor"], n) + inner.astype(np.uint64)
-    in_order = _order(doc, minor)
-    place[starts[in_order]] = np.arange(len(starts))
-    hit = repeated(text, starts + window - 1, place, window)
-    found = np.zeros(len(hit), _SEGMENT)
-    found["doc"], found["minor"], found["n"] = doc[hit], minor[hit], 1
-    return np.concatenate([*out, found])
+    own = _merged(words, begin, size, seg["id"][one])[own]
+    in_order = _order(seg["doc"], seg["minor"])
+    texts, first, many = np.unique(own[in_order], return_index=True, return_counts=True)
+    # Texts go by the place where they stand first, so an earlier place in the index is an earlier one in the corpus.
+    lay = np.argsort(first)
+    texts, first, many = texts[lay], in_order[first[lay]], many[lay]
+    size, begin = size[texts], begin[texts]
+    head = np.cumsum(size + 1) - size - 1
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    text = np.ones(int((size + 1).sum()), np.int64)  # a separator comes after each text
+    text[np.repeat(head, size) + inside] = words[np.repeat(begin, size) + inside] + 2
+    text[-1] = 0
+    fm = FMIndex(text)
+    n = size - window + 1
+    opens = np.cumsum(n) - n
+    inner = np.arange(n.sum()) - np.repeat(opens, n)
+    starts, least = np.repeat(head, n) + inner, np.repeat(np.where(many > 1, 1, 2), n)
+    found, low, high = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    for i in range(0, len(starts), SEARCHED):
+        part = slice(i, i + SEARCHED)
+        length, low[part], high[part] = matching_statistics(fm, text, starts[part] + window - 1, window, least[part])
+        found[part] = length >= window
+    hit = np.flatnonzero(found)
+    earlier = np.zeros(len(starts), bool)
+    earlier[hit] = first_places(fm, low[hit], high[hit]) < starts[hit]
+    # Where a text stands first, its windows that stand earlier, as runs; elsewhere, all that the index has.
+    which = np.repeat(np.arange(len(texts)), n)
+    opening = earlier & ~(np.concatenate([[False], earlier[:-1]]) & (inner > 0))
+    at = np.flatnonzero(earlier)
+    runs_of = np.flatnonzero(opening)
+    out = np.zeros(len(runs_of), _SEGMENT)
+    out["doc"], out["minor"] = seg["doc"][first[which[runs_of]]], seg["minor"][first[which[runs_of]]] + inner[runs_of].astype(np.uint64)
+    out["n"] = np.diff(np.searchsorted(at, np.append(runs_of, len(starts))))
+    whole = np.zeros(len(one), bool)
+    whole[texts] = np.logical_and.reduceat(found, opens)
+    later = whole[own]
+    later[first] = False
+    return np.concatenate([out, seg[later]])
 
 
 def _search(segments: DataFrame, buckets: int, window: int) -> DataFrame:
-    """bucket and packed covered windows: from the shards' indexes, and those that were found in their own bucket."""
+    """bucket and packed covered windows, from the shards' indexes."""
 
     def run(t: pa.Table) -> pa.Table:
-        seg = np.concatenate([np.frombuffer(x, _SEGMENT) for x in t["segments"].to_pylist()])
-        if t["shard"][0].as_py() >= 0:
-            number: dict[bytes, int] = {}
-            words = [number.setdefault(w, len(number)) for x in t["words"].to_pylist() for w in zstandard.decompress(x).split()]
-            seg = search_shard(seg, np.array(words, np.int64), window)
+        segs, words, texts, number = [], [], 0, {}
+        for packed, body in zip(t["segments"].to_pylist(), t["words"].to_pylist()):
+            seg = np.frombuffer(packed, _SEGMENT).copy()
+            seg["text"] += np.uint32(texts)
+            texts = int(seg["text"].max()) + 1
+            segs.append(seg)
+            words += [number.setdefault(w, len(number)) for w in zstandard.decompress(body).split()]
+        seg = search_shard(np.concatenate(segs), np.array(words, np.int64), window)
         rows = list(_covered(seg, buckets)) if len(seg) else []
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "covered": pa.array([c for _, c in rows], pa.binary())})
 
     return segments.groupBy("shard").applyInArrow(run, "bucket int, covered binary")
 
 
-def kept_words(words: list[bytes], covered: list[tuple[int, int]], window: int) -> list[bytes]:
-    """The words that no covered window holds. covered: first window and count of windows."""
-    gone = np.zeros(len(words) + 1, np.int32)
-    for start, n in covered:
+def covered_words(n: int, covered: list[tuple[int, int]], window: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which of n words a covered window holds, and the intervals that they make, end exclusive. covered: first window and count of windows."""
+    gone = np.zeros(n + 1, np.int32)
+    for start, count in covered:
         gone[start] += 1
-        gone[min(start + n + window - 1, len(words))] -= 1
-    keep = np.cumsum(gone[:-1]) == 0
-    return [w for w, k in zip(words, keep.tolist()) if k]
+        gone[min(start + count + window - 1, n)] -= 1
+    held = np.cumsum(gone[:-1]) > 0
+    edges = np.flatnonzero(np.diff(held, prepend=False, append=False)).tolist()
+    return held, list(zip(edges[::2], edges[1::2]))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: the words of each text less those of windows that stand earlier.
+    """doc_id, n_words, n_removed, kept: the words of each text less those of windows that stand earlier; and
+    intervals, the runs of words that are removed (from, to, end exclusive).
 
     docs: doc_id and text; other columns are left out, but for those that `carry` names, which come as the
     fields of a struct `row` beside the whole `text`. Earlier is a smaller doc_id or, in one text, an earlier
@@ -409,7 +494,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
     dealt = docs.withColumn("bucket", _bucket_column(buckets))
     again = _again(_send_keys(dealt, shards, window, gram))
     covered = _search(_cut_segments(dealt, again, shards, window, gram), buckets, window)
-    schema = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept string")
+    schema = T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept string, intervals array<struct<start:int,end:int>>")
+    arrow = list(to_arrow_schema(schema))
     if carry:
         schema = T.StructType([*schema, *(docs.schema[c] for c in ("text", "row"))])
 
@@ -423,13 +509,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
         low, order = np.uint64((1 << 40) - 1), _numbered(texts, ids)
         for i, doc, k in order:
             words = (texts[i] or "").encode().split()
-            kept = words
+            kept, intervals = words, []
             if (doc, k) in spans:
                 part = gone[slice(*spans[doc, k])]
-                kept = kept_words(words, list(zip((part["minor"] & low).tolist(), part["n"].tolist())), window)
-            rows.append((None if doc == least else doc, len(words), len(words) - len(kept), b" ".join(kept).decode()))
-        columns = list(zip(*rows)) or [[], [], [], []]
-        out = {n: pa.array(c, t) for n, c, t in zip(("doc_id", "n_words", "n_removed", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))}
+                held, intervals = covered_words(len(words), list(zip((part["minor"] & low).tolist(), part["n"].tolist())), window)
+                kept = [w for w, h in zip(words, held.tolist()) if not h]
+            rows.append((None if doc == least else doc, len(words), len(words) - len(kept), b" ".join(kept).decode(), [{"start": a, "end": b} for a, b in intervals]))
+        columns = list(zip(*rows)) or [[] for _ in arrow]
+        out = {f.name: pa.array(c, f.type) for c, f in zip(columns, arrow)}
         if carry:
             at = pa.array([i for i, _, _ in order], pa.int64())
             out |= {n: left[n].take(at) for n in ("text", "row")}
@@ -439,6 +526,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each row of documents."""
+    """What is left of each row of documents. A null text has no words."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
