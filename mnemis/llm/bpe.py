@@ -33,6 +33,8 @@ _CUT = regex.compile(rf" (?=[^{_WS}])")
 _KINDS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_WS}\p{{L}}\p{{N}}]+", rf"[{_WS}]+")]
 #: Characters of a block, and entries of the memo of what the transducer gave for short words.
 BLOCK, MEMO = 1 << 16, 700_000
+#: Bytes of a piece's start whose states are remembered.
+HEAD = 6
 #: Characters without a space beyond which the compiled library isn't asked: its time can grow with the square of a piece.
 RUN = 512
 
@@ -73,9 +75,8 @@ class Vocabulary:
             if i not in special and (len(b) == 1 or i in self.halves):
                 self.id_of[b] = i
         self.longest = max(map(len, self.id_of))
-        lengths = sorted({*map(len, self.id_of)}, reverse=True)
-        #: Lengths of tokens that fit in so many bytes, longest first.
-        self.lengths = [[n for n in lengths if n <= p] for p in range(self.longest + 1)]
+        self.tails = _Tails(self.id_of)
+        self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
         self.lookahead = self.longest - 1
         self.of_byte = [self.id_of[bytes([b])] for b in range(256)]
         self.good: dict[tuple[int, int], bool] = {}
@@ -170,6 +171,26 @@ class _Memo(dict):
         return out
 
 
+class _Tails(dict):
+    """The lengths of tokens that end in one to three given bytes, longest first."""
+
+    def __init__(self, id_of: dict[bytes, int]):
+        self.id_of, of = id_of, {}
+        for b in id_of:
+            if len(b) >= 3:
+                of.setdefault(b[-3:], []).append(len(b))
+        self.update((tail, (*sorted({*n}, reverse=True), *self._short(tail[1:]))) for tail, n in of.items())
+
+    def _short(self, tail: bytes) -> tuple[int, ...]:
+        return tuple(n for n in range(len(tail), 0, -1) if tail[-n:] in self.id_of)
+
+    def __missing__(self, tail: bytes) -> tuple[int, ...]:
+        out = self._short(tail)
+        if len(self) < MEMO:
+            self[tail] = out
+        return out
+
+
 class PieceStream:
     """Tokens of one piece of any length, fed in parts. Holds the window and what isn't final yet."""
 
@@ -180,9 +201,17 @@ class PieceStream:
         """last[p], back[p]: the last token of the prefix that ends at p, and where it starts."""
         v, known = self.v, self.v.good
         start, self.data = len(self.data), self.data + data
-        data, last, back, longest, of = self.data, self.last, self.back, v.longest, v.id_of.get
+        data, last, back, tails, of = self.data, self.last, self.back, v.tails, v.id_of.get
+        head = data[:HEAD] if not start and len(data) > HEAD else None
+        if head in v.heads:  # what a prefix gives doesn't hang on what follows
+            tokens, begins = v.heads[head]
+            last += tokens
+            back += begins
+            start, head = HEAD, None
         for p in range(start + 1, len(data) + 1):
-            for size in v.lengths[p if p < longest else longest]:
+            for size in tails[data[p - 3 if p > 3 else 0 : p]]:
+                if size > p:
+                    continue
                 token = of(data[p - size : p])
                 if token is not None:
                     before = last[p - size]
@@ -193,7 +222,9 @@ class PieceStream:
                         break
             last.append(token)
             back.append(p - size)
-        return self._final() if len(data) > 8 * longest else []
+        if head is not None and len(v.heads) < MEMO:
+            v.heads[head] = last[1 : HEAD + 1], back[1 : HEAD + 1]
+        return self._final() if len(data) > 8 * v.longest else []
 
     def _path(self, end: int, start: int) -> list[int]:
         out = []

@@ -266,17 +266,15 @@ def test_bpe_streams_in_any_blocks(monkeypatch):
 
 def test_every_piece_goes_through_the_transducer(texts, monkeypatch):
     """Pieces of any length are fed to a stream, all of their bytes, before their tokens are known."""
-    v, fed = bpe.Vocabulary(bpe.default_path()), []
+    v, fed = bpe.Vocabulary(bpe.default_path()), set()
     feed = bpe.PieceStream.feed
-    monkeypatch.setattr(bpe.PieceStream, "feed", lambda self, data: fed.append(data) or feed(self, data))
+    monkeypatch.setattr(bpe.PieceStream, "feed", lambda self, data: fed.add(data) or feed(self, data))
     seen = set()
     for text in texts.values():
-        text = text or ""
-        if v.mark.search(text):
-            continue
-        bpe.encode(text, v)
-        seen |= {m[0].encode() for m in bpe._PIECE.finditer(text)}
-    assert seen == set(fed) and len(seen) > 300
+        bpe.encode(text or "", v)
+        for part in v.mark.split(text or "")[::2]:
+            seen |= {m[0].encode() for m in bpe._PIECE.finditer(part)}
+    assert seen == fed and len(seen) > 50 and max(map(len, seen)) > 1000
 
 
 def test_tokens_are_emitted_within_the_lookahead():
@@ -310,17 +308,35 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none, "doc_id", [1.0]).count() == 0
 
 
+ODD = [r"\### Assistant: </turn> ok", "</turn>\n### user: hi", None, "", "\\", "### a*: b</turn>\n", "x</turn", "\n", "<\\/turn>", "#\\##", "##### Assistant: x", "######", "#", "##", "</turn></turn>\\", "é#中###😀", "</tu</turn>rn>", "a" * 50_000 + "###"]
+
+
 def test_chat(spark):
-    odd = [r"\### Assistant: </turn> ok", "</turn>\n### user: hi", None, "", "\\", "### a*: b</turn>\n", "x</turn", "\n", "<\\/turn>", "#\\##"]
-    rows = [(c, t, r, x) for c, x in enumerate(odd) for t, r in enumerate(["system", "user", "assistant", "as:*\\\n"])] + [(99, 0, None, "a"), (99, 0, None, "a")]
-    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert len(got) == len(odd) + 1
+    rows = [(c, t, r, x, "mine") for c, x in enumerate(ODD) for t, r in enumerate(["system", "user", "assistant", "as:*\\\n"])] + [(99, 0, None, "a", None), (99, 0, None, "a", None), (None, None, "assistant", "b", None), (None, 1, "user", None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = chat.format_chats(df).collect()
+    assert len(got) == len(ODD) + 2
     for r in got:
-        own = [(role or "", x or "") for c, _, role, x in rows if c == r["conv_id"]]
+        own = [(role or "", x or "") for c, _, role, x, _ in rows if c == r["conv_id"]]
         turns = chat.parse(r["formatted"])
         assert [t[:2] for t in turns] == own and r["n_turns"] == len(own)
         loss = [chat.unescape(r["formatted"][a:b]) for a, b in zip(r["loss"][::2], r["loss"][1::2])]
-        assert len(loss) == sum(role == "assistant" for role, _ in own)
+        assert loss == [x for role, x in own if role == "assistant"]
+        bodies = "\0".join(r["formatted"][a:b] for _, _, a, b in turns)
+        assert "###" not in bodies and "</turn>" not in bodies
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_escapes_until_identical(monkeypatch):
+    """A form that doesn't parse back gives way to the next."""
+    for text in filter(None, ODD):
+        assert chat.parse_turn(chat.render_turn("user", text))[:2] == ("user", text)
+    monkeypatch.setattr(chat, "escape", lambda text: text.replace("#", ""))
+    one = chat.render_turn("user", "a ### b")
+    assert chat.parse_turn(one)[:2] == ("user", "a ### b") and r"\#\#\#" in one
+    for bad in ("### user: a ### b</turn>\n", "### user*: a </turn> b</turn>\n", "### user: a", "user: a</turn>\n"):
+        with pytest.raises(ValueError):
+            chat.parse(bad)
 
 
 def test_packing(docs, texts, none):
@@ -378,15 +394,56 @@ def test_pii_base(docs, texts, none):
     assert found.keys() == texts.keys() and found[0]["spans"] == []
 
 
-def test_pii_adds_what_labelers_agree_on():
-    model = pii.train(np.array([pii.pattern_of(c) for c in pii.candidates("tel +1 (234) 555-0100 call (234) 555-0100 x 000-000-0000")]), np.array([50.0, 5.0, 5.0]))
-    got = [(c.kind, c.base) for c in pii.spans_of("please call (234) 555-0199 or wait", model)]
-    assert got == [("phone", False)]
-    assert pii.spans_of("numbers 000-000-0000 here", model) == []
-    both = pii.train(np.array([pii.pattern_of(c) for c in pii.candidates("x +1 (234) 555-0100 4111111111111111 y 4111111111111112 z")]), np.array([20.0, 20.0, 5.0]))
-    found = pii.spans_of("at +1 (234) 555-0100 4111111111111111 or 4111111111111112", both)
-    assert [(c.kind, c.start, c.end) for c in found] == [("card", 21, 37), ("phone", 3, 20)]
-    assert pii.masked("to a@b.cd now", pii.spans_of("to a@b.cd now", {})) == "to [EMAIL] now"
+def _private(rng):
+    """A text and its personal data, some in wider forms, among numbers that are none."""
+    digit = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+
+    def card(good):
+        while True:
+            x = rng.choice("45") + rng.choice("12345") + digit(14)
+            if pii.luhn(x) == good:
+                return x
+
+    name, site, cue = rng.choice(WORDS), rng.choice(WORDS), rng.choice(["", "", "write to ", "call ", "card ", "host "])
+    ip = [str(rng.randrange(1, 256)) for _ in range(4)]
+    truth = [("email", f"{name}@{site}.com"), ("ip", ".".join(ip)), ("card", card(True)), ("phone", f"+1 ({rng.randrange(200, 999)}) 555-{digit(4)}")]
+    wide = [("email", f"{name} [at] {site} [dot] com"), ("ip", "[.]".join(ip)), ("phone", f"({rng.randrange(200, 999)}) 555-{digit(4)}")]
+    decoys = [card(False), digit(3) + " " + digit(9), "9" + digit(2) + ".1.2.3", f"{name} (at) {site} today", "0" + digit(2) + "-" + digit(3) + "-" + digit(4), digit(9)]
+    parts = [*rng.sample(truth, 2), *rng.sample(wide, 1), *((None, d) for d in rng.sample(decoys, 2))]
+    rng.shuffle(parts)
+    text, spans = "", []
+    for kind, part in parts:
+        text += " ".join(rng.choice(WORDS) for _ in range(6)) + " " + cue
+        if kind:
+            spans.append((kind, len(text), len(text) + len(part)))
+        text += part + " "
+    return text + "end", spans
+
+
+def test_pii_precision_of_added_spans(spark):
+    """Fitted on one half of made texts, the spans that the classifier adds to the other half are right."""
+    rng = random.Random(9)
+    made = [_private(rng) for _ in range(800)]
+    model = pii.fit(spark.createDataFrame([(t,) for t, _ in made[:400]], "text string").repartition(3))
+    added = right = wanted = 0
+    for text, truth in made[400:]:
+        base = {s for s in pii.base_spans(text)}
+        more = {(c.kind, c.start, c.end) for c in pii.spans_of(text, model)} - base
+        added, right, wanted = added + len(more), right + len(more & {*truth}), wanted + len({*truth} - base)
+    print("added", added, "right", right, "wanted", wanted)
+    assert right / added > 0.95 and right / wanted > 0.9
+
+
+def test_pii_context_votes_and_masks():
+    votes = {c.votes[3:] for t in ("call +1 (234) 555-0100 now", "12 (234) 555-0100 13", "x +1 (234) 555-0100") for c in pii.candidates(t)}
+    assert votes == {(1, 1), (0, -1), (0, 1)}
+    assert pii.masked("to a@b.cd now", pii.spans_of("to a@b.cd now", pii.SpanModel(None))) == "to [EMAIL] now"
+
+
+def test_pii_many_spans_in_one_text():
+    """Time grows with a text's spans, not with their square."""
+    text = "call (234) 555-0199 or 4111111111111111 at 10.0.0.1 " * 20_000
+    assert len(pii.candidates(text)) == 60_000
 
 
 def test_classifier(spark, none):
