@@ -463,18 +463,44 @@ def test_classifier(spark, none):
 @pytest.mark.parametrize("batch", [1 << 16, 7])
 def test_context_covers_all_texts(docs, texts, batch, monkeypatch):
     monkeypatch.setattr(classifier, "BATCH", batch)
-    codes, index = classifier._Codes(), classifier._index_vectors(classifier.BUCKETS, 1)
     want = np.zeros((classifier.BUCKETS, classifier.DIM))
     for t in texts.values():
-        b = [codes[w] % classifier.BUCKETS for w in (t or "").split()]
-        for i, x in enumerate(b):
-            for j in range(max(0, i - classifier.NEAR), min(len(b), i + classifier.NEAR + 1)):
+        h = [xxhash.xxh64_intdigest(w) for w in (t or "").split()]
+        v = classifier.index_vectors(np.array(h, np.uint64))
+        for i, x in enumerate(h):
+            for j in range(max(0, i - classifier.NEAR), min(len(h), i + classifier.NEAR + 1)):
                 if j != i:
-                    want[x] += index[b[j]]
+                    want[x % classifier.BUCKETS] += v[j]
     want = (want / (np.linalg.norm(want, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
     assert np.array_equal(classifier.context(docs), want)
 
 
+def test_words_have_their_own_vectors(monkeypatch):
+    """Words of one bucket and form differ, and a memo that is cleared gives the same vectors."""
+    names = [f"w{i}" for i in range(30_000)]
+    words = classifier._Words(classifier.vectors_of(np.zeros((classifier.BUCKETS, classifier.DIM), np.float32)))
+    rows = words.rows(names)
+    v = words.vectors[rows]
+    assert len({x.tobytes() for x in v}) == len(names)
+    monkeypatch.setattr(classifier, "MEMO", 10)
+    for i in range(0, 300, 50):
+        rows = words.rows(names[i : i + 50])
+        assert np.array_equal(words.vectors[rows], v[i : i + 50])
+
+
+@pytest.mark.parametrize("n", [2, 3, 12, 49, 400])
+def test_temperature_is_fitted_at_any_size(n):
+    """Labels that the features only half explain make the network less sure of itself."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((n, 5))
+    y = (x[:, 0] + 2 * rng.standard_normal(n) > 0).astype(float)
+    y[:2] = [0, 1]
+    net = classifier.Network(x, y)
+    assert net.temperature != 1.0
+    assert n < 400 or net.temperature > 2
+    assert classifier.Network(x[:1], y[:1]).temperature == 1.0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((700, 64)).astype(np.float32)
