@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemis.llm.common import map_rows, short_batches, table
+from mnemis.llm.common import map_rows, parts, short_batches, table
 
-#: Rows that the rotation is learned from; rows of an index block; queries of a query block.
-SAMPLE, INDEX_ROWS, QUERY_ROWS = 4096, 8192, 2048
+#: Rows that the rotation is learned from; rows of an index block, at least and at most; queries of a query block.
+SAMPLE, LEAST_ROWS, INDEX_ROWS, QUERY_ROWS = 4096, 4096, 65_536, 16_384
 #: Bits of a code and of a substring, and the Hamming radius of a search.
-BITS, SUB, RADIUS = 64, 16, 29
+BITS, SUB, RADIUS = 64, 16, 28
 
 
 def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = 30) -> np.ndarray:
@@ -59,8 +59,8 @@ class MultiIndex:
             order = np.argsort(sub, kind="stable")
             self.tables.append((order, np.concatenate([[0], np.cumsum(np.bincount(sub, minlength=1 << SUB))])))
 
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """All rows with codes within the radius. Of radius = m * q + r, r + 1 of the m substrings are probed to q bits, the rest to q - 1:
+    def probed(self, code: np.uint64, radius: int) -> np.ndarray:
+        """Rows that share a probed bucket with the code, all within the radius among them. Of radius = m * q + r, r + 1 of the m substrings are probed to q bits, the rest to q - 1:
         a code further off in each of them is further off than the radius."""
         masks, upto = _masks()
         m = BITS // SUB
@@ -75,7 +75,11 @@ class MultiIndex:
             a, n = begin[probes], begin[probes + 1] - begin[probes]
             a, n = a[n > 0], n[n > 0]
             seen[order[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
-        rows = np.flatnonzero(seen)
+        return np.flatnonzero(seen)
+
+    def within(self, code: np.uint64, radius: int) -> np.ndarray:
+        """All rows with codes within the radius."""
+        rows = self.probed(code, radius)
         return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
 
@@ -130,12 +134,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, radius: int = RADIU
     rows, queries: vec_id and embedding; other columns are left out. Null, empty or zero vectors, and those with
     null or non-finite components, take no part, nor rows without vec_id; the dimension is that of most rows,
     and vectors of another take no part. Repeated rows count once for each query. The rotation is learned from
-    `sample` rows at most, those with the smallest hash of vec_id; every row is indexed. Rows and queries meet
-    in blocks, each with an index of its own, and the blocks' best are merged. Empty tables give no rows.
+    `sample` rows at most, those with the smallest hash of vec_id; every row is indexed. Rows are dealt into index
+    blocks and queries into query blocks, a block of each meet in a task, and the blocks' best are merged. Up to
+    QUERY_ROWS queries a row is sent once. Candidates never leave their task, only k rows a query do. Extra columns
+    and their names don't matter. Empty tables give no rows.
     """
     spark = rows.sparkSession
     whole = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    clean = [df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter(whole) for df in (rows, queries)]
+    form = "<f8" if dict(rows.dtypes)["embedding"] == "array<double>" else "<f4"
+    clean = [df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if form == "<f8" else "array<float>").alias("embedding")).filter(whole) for df in (rows, queries)]
     sizes = clean[0].groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
@@ -144,11 +151,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, radius: int = RADIU
     at, ask = (df.filter(F.size("embedding") == d) for df in clean)
     few = at.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     rotation = learn_rotation(np.array([r["embedding"] for r in few], np.float64))
-    n_at, n_ask = max(1, -(-n // INDEX_ROWS)), max(1, -(-ask.count() // QUERY_ROWS))
+    n_at, n_ask = max(1, -(-n // INDEX_ROWS), min(parts(spark), n // LEAST_ROWS)), max(1, -(-ask.count() // QUERY_ROWS))
 
     def pack(it: Iterator[tuple]) -> Iterator[tuple]:
         for i, v in it:
-            yield i, np.array(v, np.float32).tobytes()
+            yield i, np.array(v, form).tobytes()
 
     at, ask = (map_rows(df, pack, "vec_id long, v binary") for df in (at, ask))
     mine = lambda blocks, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks))
@@ -159,7 +166,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, radius: int = RADIU
         found = []
         if len(left) and len(right):
             left, right = left.drop_duplicates(["vec_id", "v"]), right.drop_duplicates(["vec_id", "v"])
-            x, y = (np.frombuffer(b"".join(p["v"]), np.float32).reshape(len(p), d) for p in (left, right))
+            x, y = (np.frombuffer(b"".join(p["v"]), form).reshape(len(p), d) for p in (left, right))
             found = search_block(left["vec_id"].to_numpy(), x, right["vec_id"].to_numpy(), y, rotation, k, radius)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -170,6 +177,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, radius: int = RADIU
 
 
 def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest rows of embeddings for each row whose vec_id is divisible by 50."""
+    """The 5 nearest rows of embeddings for each row whose vec_id is divisible by 50. Nulls as in `nearest`."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.filter("vec_id % 50 = 0"))
