@@ -6,7 +6,8 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -32,10 +33,12 @@ def short_batches(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir, which every executor reads.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    A folder of this machine is set only where the session names none and all runs on this machine, as in tests.
     """
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="mnemis-"))
     return df.checkpoint(eager=True)
 
@@ -66,3 +69,15 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that whatever their names, none meets a column that is added."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def unpacked(df: DataFrame, row: str, added: list[str]) -> DataFrame:
+    """The fields of the struct `row`, then the added columns, which take the place of fields with their names."""
+    names = {c.lower() for c in added}
+    fields = [f.name for f in df.schema[row].dataType if f.name.lower() not in names]
+    return df.select(*(F.col(row).getField(c).alias(c) for c in fields), *added)

@@ -15,11 +15,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mnemis.llm.common import cut, map_rows, table
+from mnemis.llm.common import cut, map_rows, short_batches, table, whole
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -336,8 +338,22 @@ def masked(text: str, spans: list[Candidate]) -> str:
     return "".join([*out, text[at:]])
 
 
+def masked_rows(docs: DataFrame, model: SpanModel) -> DataFrame:
+    """docs with each span in text replaced by its kind; all other columns stay, whatever their names and types. A null text stays null."""
+    held = docs.select("text", whole(docs).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [None if t is None else masked(t, spans_of(t, model)) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b["row"]], names=["text", "row"])
+
+    short_batches(docs.sparkSession)
+    out = held.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), held.schema["row"]]))
+    return out.select(*(F.col("text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and places of personal data in documents; n_<kind> and base_sha256 are of base spans."""
+    """Counts and places of personal data in documents; n_<kind> and base_sha256 are of base spans. A null text has none."""
     found = find(table(spark, sf_dir, "documents")).select("doc_id", "spans")
     join = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])

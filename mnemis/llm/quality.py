@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemis.llm.common import BLANK, table
+from mnemis.llm.common import BLANK, table, unpacked, whole
 
 #: Frequent function words of English, German, Spanish and French.
 STOP_WORDS = (
@@ -100,16 +100,12 @@ def rules() -> list[Rule]:
     ]
 
 
-def judge(docs: DataFrame, table_of: list[Rule] | None = None) -> DataFrame:
-    """docs with the base counts, base_failed, a boolean fails_<rule> for each rule, and kept.
-
-    docs: text and any other columns; columns with the added names are replaced. Built-in functions
-    in one projection chain, so no shuffle: a text is judged alone, however often it is repeated.
-    A null text has no words and is rejected like an empty one. An empty table gives no rows.
-    """
+def _judged(docs: DataFrame, table_of: list[Rule] | None) -> tuple[DataFrame, list[str]]:
+    """The rows of docs as the struct `_row`, beside the columns that are added, and the names of these."""
     table_of = rules() if table_of is None else table_of
-    plain = F.coalesce(F.col("text"), F.lit(""))
-    counted = docs.withColumn("_words", words_of(plain)).withColumns(base_counts(plain, F.col("_words"))).drop("_words")
+    held = docs.select(whole(docs).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    counts = base_counts(F.col("_text"), F.col("_words"))
+    counted = held.withColumn("_words", words_of(F.col("_text"))).withColumns(counts).drop("_words", "_text")
     flags = {}
     for r in table_of:
         fails = F.lit(False)
@@ -119,11 +115,28 @@ def judge(docs: DataFrame, table_of: list[Rule] | None = None) -> DataFrame:
             fails = fails | (r.value > r.most)
         flags[f"fails_{r.name}"] = F.coalesce(fails, F.lit(False))
     out = counted.withColumns({"base_failed": base_failed()} | flags)
-    return out.withColumn("kept", ~reduce(lambda a, b: a | b, (F.col(c) for c in flags), F.col("base_failed")))
+    out = out.withColumn("kept", ~reduce(lambda a, b: a | b, (F.col(c) for c in flags), F.col("base_failed")))
+    return out, [*counts, "base_failed", *flags, "kept"]
+
+
+def judge(docs: DataFrame, table_of: list[Rule] | None = None) -> DataFrame:
+    """docs with the base counts, base_failed, a boolean fails_<rule> for each rule, and kept.
+
+    docs: text and any other columns; columns with the added names are replaced. Built-in functions
+    in one projection chain, so no shuffle: a text of any length is judged alone and whole, however often it is
+    repeated. A null text has no words and is rejected like an empty one. An empty table gives no rows.
+    """
+    out, added = _judged(docs, table_of)
+    return unpacked(out, "_row", added)
+
+
+def passing(docs: DataFrame, table_of: list[Rule] | None = None) -> DataFrame:
+    """The rows of docs that `judge` keeps, with all their columns as they are, whatever their names."""
+    return _judged(docs, table_of)[0].filter("kept").select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents by the base rules and the thresholds."""
+    """documents by the base rules and the thresholds. Nulls as in `judge`."""
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

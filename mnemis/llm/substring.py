@@ -529,3 +529,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each row of documents. A null text has no words."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows as text, each with its first place; words that a window with an earlier place covers go.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS n FROM g),
+c AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM m, range(20) r(k) WHERE n > 1 GROUP BY doc_id),
+k AS (SELECT d.doc_id, w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)) AS stay FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(stay) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_transform(stay, lambda i: w[i]), ' ')) AS kept_sha256
+FROM k"""

@@ -193,6 +193,37 @@ def _near_texts():
     return [" ".join(w) for w in out]
 
 
+def _heads(texts):
+    """The smallest id of each class of texts that are near over any number of steps."""
+    sets, root = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    for i in texts:
+        for j in texts:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                x, y = sorted((root[i], root[j]))
+                root = {k: x if r == y else r for k, r in root.items()}
+    return set(root.values())
+
+
+@pytest.mark.parametrize("group", [4096, 3])
+def test_near_copies_in_a_cluster(spark, group, monkeypatch):
+    """Many copies of one text, each near to some others only; also where groups are dealt in blocks."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "ROUNDS", 1)
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) + str(i) for i in range(90)]
+    texts = {}
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(90)] = f"x{i}"
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.heads(df).collect()} == _heads(texts)
+
+
 def test_near_copies_by_five_word_jaccard(spark):
     """Every pair at 4 / 5 or more is linked and none below, against all pairs."""
     texts = _near_texts()
@@ -537,6 +568,84 @@ def test_index_finds_all_within_radius():
             assert index.within(c, r).tolist() == np.flatnonzero(np.bitwise_count(codes ^ c) <= r).tolist()
 
 
+CLASH = ["kept", "N_WORDS", "_words", "_text", "_row", "row", "n_removed", "_copy", "node", "root", "spans", "sequence_id", "offset", "_group", "at", "shard", "slot", "_mix", "_key", "bucket"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, texts):
+    """Texts with nulls, repeats and every name that the operators use, each column holding its own value."""
+    clean = {1000 + i: f"{' '.join(WORDS)} of the and {i} " + " ".join(f"{w}{i}x{k}" for k, w in enumerate(WORDS * 5)) for i in range(4)}
+    rows = [(i if i % 11 else None, t, *(f"{c}{i}" for c in CLASH)) for i, t in (texts | clean).items()] * 2
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASH)).repartition(3)
+
+
+def test_stages_keep_columns_of_any_name(spark, clashing):
+    import corpus_pipeline as p
+
+    docs = clashing
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == clashing.columns, name
+        rows = out.collect()
+        assert rows and all(len({r[c].removeprefix(c) for c in CLASH}) == 1 for r in rows), name
+        assert stage(spark, clashing.limit(0), "").count() == 0
+        assert stage(spark, clashing.select("doc_id", "text"), "").columns == ["doc_id", "text"]
+    last = p.STAGES[-1][1](spark, clashing, "")
+    assert last.count() >= clashing.count() and p.STAGES[-1][1](spark, clashing.limit(0), "").count() == 0
+
+
+def test_operators_replace_columns_of_their_own_names(spark, clashing):
+    n = clashing.count()
+    judged = quality.judge(clashing)
+    assert judged.count() == n and dict(judged.dtypes)["kept"] == "boolean" and sum(c.lower() == "n_words" for c in judged.columns) == 1
+    assert {r["_words"][:6] for r in judged.collect()} == {"_words"}
+    dealt = sharding.shard(clashing, "doc_id", [1.0] * 3)
+    assert dealt.columns.count("shard") == 1 and dealt.count() == n and all(r["_mix"].startswith("_mix") for r in dealt.collect())
+    sized = clashing.withColumn("piece", F.lit(0)).withColumn("length", F.lit(5)).withColumn("doc_id", F.lit(None).cast("long"))
+    packed = packing.pack(sized, 2, 64)
+    assert packed.columns.count("offset") == 1 and packed.count() == n and all(r["at"].startswith("at") for r in packed.collect())
+    for r in pii.find(clashing.select("doc_id", "text", "spans")).collect():
+        assert r["spans"] is not None
+
+
+def test_equal_rows_are_dealt_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RUN", 50)
+    rows = spark.createDataFrame([(None, "x")] * 700 + [(i, "y") for i in range(300)], "doc_id long, t string").repartition(4)
+    by = defaultdict(list)
+    for r in sharding.shard(rows, "doc_id", [1.0] * 4).collect():
+        by[r["shard"]].append(r["slot"])
+    assert sum(map(len, by.values())) == 1000 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_equal_rows_are_packed_in_groups_of_one_size(spark):
+    rows = spark.createDataFrame([(None, 0, 7)] * 1000, "doc_id long, piece int, length long").repartition(4)
+    out = packing.pack(rows, 4, 64).collect()
+    sizes = Counter(r["sequence_id"] >> 32 for r in out)
+    assert len(out) == 1000 and len(sizes) == 4 and max(sizes.values()) < 260
+    text = "a b " * 100_000
+    assert packing.groups_for(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), 10) >= 4
+
+
+def test_very_long_texts(spark):
+    """One text of a million characters goes through every operator whole."""
+    rng = random.Random(8)
+    text = " ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(110_000)) + " call me: ann@mail.example.com"
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    n = len(text.split())
+    assert {r["n_words"] for r in quality.judge(docs).collect()} == {n}
+    assert sorted(r["n_removed"] for r in substring.remove_repeats(docs).collect()) == [sum(r["n_removed"] for r in substring.remove_repeats(docs.limit(1)).collect()), n]
+    assert {r["component_id"] for r in simhash.classes(docs).collect()} == {1} and simhash.heads(docs).count() == 1
+    assert all(r["spans"][0]["end"] == len(text) for r in pii.find(docs).collect())
+    tokens = Tokenizer.from_file(bpe.default_path()).encode(text, add_special_tokens=False).ids
+    assert {r["ids_sha256"] for r in bpe.digests(docs).collect()} == {hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest()}
+    packed = packing.pack(packing.pieces(docs), 1).collect()
+    assert sum(r["length"] for r in packed) == 2 * (len(tokens) + 1) and max(r["length"] for r in packed) == 2048
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert len({r["score"] for r in classifier.Model.fit(docs, labels).score(docs).collect()}) == 1
+    chats = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+    assert {r["loss_chars"] for r in chat.digests(chat.format_turns(chats)).collect()} == {len(text)}
+
+
 def test_pipeline(spark, tmp_path, texts):
     """Each stage on its own input, by what its operator's test holds."""
     import corpus_pipeline as p
@@ -550,8 +659,7 @@ def test_pipeline(spark, tmp_path, texts):
     assert {*range(12)} <= {r[0] for r in kept.collect()} and kept.columns == columns
     once = p.STAGES[1][1](spark, kept, str(tmp_path))
     ids = {r[0] for r in once.collect()}
-    heads = {r["component_id"] for r in simhash.classes(kept).collect()}
-    assert ids == heads and 12 not in ids and once.columns == columns
+    assert ids == _heads({r["doc_id"]: r["text"] for r in kept.collect()}) and 12 not in ids and once.columns == columns
     less = p.STAGES[2][1](spark, once, str(tmp_path))
     before = {r["doc_id"]: r["text"] for r in once.collect()}
     want = _removed(before)
