@@ -19,12 +19,16 @@ WIDTHS = (13, 13, 13, 13, 12)
 SHIFTS = (0, 13, 26, 39, 52)
 #: Members of one start segment beyond which they are dealt by the next segment too; rows of a task; pairs at once.
 HOT, TASK_ROWS, PAIRS = 20_000, 100_000, 1 << 20
+#: Whole sets of shingles, some kilobytes each, of a task.
+TASK_SETS = 4000
 #: The pipeline's rule: sets of shingles of five words with intersection / union of at least 4 / 5.
 STAGE_SHINGLE = 5
 #: Of the rarest-first order of shingles: one text in SAMPLE is counted, of what is common there the first COMMON are held. They change the cost only, never what is found.
 SAMPLE, COMMON = 16, 1 << 18
 #: Bytes of listed shingles of a task, partners that a set is first tried with, and slots of the filter of wanted texts.
 LISTED_BYTES, FIRST_TRIES, SLOTS = 16 << 20, 4, 1 << 20
+#: Rounds in which each set is tried with its likeliest partner; sets of a group beyond which it is dealt in blocks.
+ROUNDS, GROUP = 2, 4096
 _ORDER = np.array([8 * (b // 8) + 7 - b % 8 for b in range(BITS)])
 
 
@@ -171,20 +175,20 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of the edges u, v the smallest node of its connected set.
 
     Alternates stars (large, then small) until nothing changes; each round is cut, so a lost executor costs one round.
+    A round has as many partitions as its edges need, so few edges are few files.
     """
     now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
+    tell = lambda: tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+    seen, state = None, tell()
+    while state != seen:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").filter("u <> v").distinct())
-        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if tuple(state) == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = tuple(state)
+        now = cut(small.select("e.u", "e.v").filter("u <> v").distinct().coalesce(1 + state[0] // TASK_ROWS))
+        seen, state = state, tell()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _rooted(prints: DataFrame) -> DataFrame:
@@ -261,99 +265,178 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text", "_copy"), run, "doc_id long, _copy long, fp long, node long, size long, bits binary, listed binary")
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a and b, sorted."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def _shared(sets: DataFrame) -> DataFrame:
-    """h, node, size: listed shingles that two sets or more list. sets: node, size, listed.
+    """key, node: groups of two sets or more that list a shingle in common. sets: node, listed.
 
-    Shingles travel packed, in a row a task and batch.
+    A key is the sum of its members' mixed numbers, so shingles that the same sets list, as those of one passage,
+    are one group. Different groups of one key would be joined, which loses no pair. Shingles travel packed, in a
+    row a task and batch.
     """
     spark = sets.sparkSession
     tasks = max(parts(spark), (sets.agg(F.sum(F.length("listed"))).first()[0] or 0) // LISTED_BYTES)
 
     def deal(it: Iterator[tuple]) -> Iterator[tuple]:
         def flush(held: list[tuple]) -> Iterator[tuple]:
-            lens = [len(x[2]) // 8 for x in held]
-            h = np.frombuffer(b"".join(x[2] for x in held), np.uint64)
-            node, size = (np.repeat(np.array([x[i] for x in held], np.int64), lens) for i in (0, 1))
+            h = np.frombuffer(b"".join(x[1] for x in held), np.uint64)
+            node = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) // 8 for x in held])
             at = (h % np.uint64(tasks)).astype(np.int64)
             order = np.argsort(at, kind="stable")
-            h, node, size, at = h[order], node[order], size[order].astype(np.int32), at[order]
+            h, node, at = h[order], node[order], at[order]
             edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
             for a, b in zip(edges, edges[1:]):
-                yield int(at[a]), h[a:b].tobytes(), node[a:b].tobytes(), size[a:b].tobytes()
+                yield int(at[a]), h[a:b].tobytes(), node[a:b].tobytes()
 
         held, n = [], 0
         for row in it:
             held.append(row)
-            n += len(row[2])
+            n += len(row[1])
             if n > LISTED_BYTES:
                 yield from flush(held)
                 held, n = [], 0
         yield from flush(held)
 
     def run(t: pa.Table) -> pa.Table:
-        h, node, size = (np.concatenate([np.frombuffer(x, k) for x in t[c].to_pylist()]) for c, k in (("h", np.uint64), ("node", np.int64), ("size", np.int32)))
-        order = np.lexsort((node, h))
-        h, node, size = h[order], node[order], size[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, size = h[new], node[new], size[new]
-        same = h[1:] == h[:-1]
-        more = np.append(same, False) | np.insert(same, 0, False)
-        return pa.table({"h": h[more].view(np.int64), "node": node[more], "size": size[more].astype(np.int64)})
-
-    dealt = map_rows(sets.select("node", "size", "listed"), deal, "at long, h binary, node binary, size binary", batch=64)
-    return dealt.groupBy("at").applyInArrow(run, "h long, node long, size long")
+        h, node = (np.concatenate([np.frombuffer(x, k) for x in t[c].to_pylist()]) for c, k in (("h", np.uint64), ("node", np.uint64)))
+        h, node = _distinct(h, node)
+        starts = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint64(1)))
+        many = np.diff(np.append(starts, len(h)))
+        key = np.repeat(np.add.reduceat(_mix(node), starts), many) if len(h) else h
+        key, node = _distinct(key[np.repeat(many, many) > 1], node[np.repeat(many, many) > 1])
+        return pa.table({"key": key.view(np.int64), "node": node.view(np.int64)})
 
+    dealt = map_rows(sets.select("node", "listed"), deal, "at long, h binary, node binary", batch=64)
+    return dealt.groupBy("at").applyInArrow(run, "key long, node long")
 
-def _first_tries(prints: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs u < v of sets that are likely near: over linked fingerprints, and some that share a listed shingle.
 
-    They only spare work: what they join need not be paired again.
-    """
+def _linked_prints(prints: DataFrame) -> DataFrame:
+    """Pairs u < v of sets whose fingerprints are equal or linked, as a forest."""
     node_of = cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
     same = prints.select("fp", "node").distinct().join(node_of, "fp").select(F.col("first").alias("u"), F.col("node").alias("v"))
     edges = links(node_of.select("fp"))
     ends = [node_of.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("u", "a"), ("v", "b"))]
     near = edges.join(ends[0], "u").join(ends[1], "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    hub = shared.groupBy("h").agg(F.min_by("node", F.xxhash64("h", "node")).alias("u"))
-    order = Window.partitionBy("v").orderBy(F.xxhash64("h", "v"))
-    some = shared.select("h", F.col("node").alias("v")).join(hub, "h").filter("u <> v").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FIRST_TRIES)
-    both = same.unionByName(near).unionByName(some.select("u", "v")).filter("u <> v")
-    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return _upward(same.unionByName(near))
+
 
+def _upward(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-def _open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs u < v of sets that share a listed shingle, may be near by their sizes and have not one root."""
-    rooted = shared.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
+
+def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs u < v of a set and one that stands for a group it is in, for FIRST_TRIES groups of it at most.
+
+    They only spare work: what they join need not be paired again.
+    """
+    hub = shared.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("u"))
+    order = Window.partitionBy("v").orderBy(F.xxhash64("key", "v"))
+    some = shared.select("key", F.col("node").alias("v")).join(hub, "key").filter("u <> v").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= FIRST_TRIES)
+    return _upward(some.select("u", "v"))
+
+
+class _Parities:
+    """Parities of sets by place, of one length each, and folded to half of it."""
+
+    def __init__(self, bits: list[bytes]):
+        self.long = np.array([len(b) for b in bits])
+        self.at, self.full, self.half = np.zeros(len(bits), np.int64), {}, {}
+        for n in np.unique(self.long).tolist():
+            own = np.flatnonzero(self.long == n)
+            self.at[own] = np.arange(len(own))
+            x = np.frombuffer(b"".join(bits[i] for i in own.tolist()), np.uint8).reshape(len(own), n)
+            self.full[n], self.half[n] = x, x[:, : n // 2] ^ x[:, n // 2 :]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many shingles the sets at x and y differ at least. A y's parity is as long as x's, or twice that."""
+        out = np.zeros(len(x), np.int64)
+        for n in np.unique(self.long[x]).tolist():
+            for twice in (False, True):
+                there = np.flatnonzero((self.long[x] == n) & (self.long[y] == (2 * n if twice else n)))
+                other = self.half.get(2 * n) if twice else self.full[n]
+                step = max(1, (8 << 20) // n)
+                for i in range(0, len(there), step):
+                    k = there[i : i + step]
+                    out[k] = np.bitwise_count(self.full[n][self.at[x[k]]] ^ other[self.at[y[k]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _pairs_of_groups(key: np.ndarray, part: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, bits: list[bytes], nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of nodes of one key that may be near by sizes and parities and have not one root.
+
+    nearest: of each node, only the pair that differs least by its parities. part: the member's own block where a
+    key is two blocks' meeting, then only members of both are paired; else -1.
+    """
+    order = np.lexsort((size, key))
+    key, part, node, size, root = key[order], part[order], node[order], size[order], root[order]
+    parity = _Parities([bits[i] for i in order.tolist()])
+    group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+    wide = 5 * int(size.max(initial=0)) + 1
+    top = np.searchsorted(group * wide + 4 * size, group * wide + 5 * size, "right")
+    counts, out, done = top - np.arange(len(key)) - 1, [], 0
+    while done < len(key):
+        total = np.cumsum(counts[done:])
+        step = max(1, int(np.searchsorted(total, PAIRS, "right")))
+        n = counts[done : done + step]
+        x = np.repeat(np.arange(done, done + step), n)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + x + 1
+        meet = (root[x] != root[y]) & ((part[x] < 0) | (part[x] != part[y]))
+        x, y = x[meet], y[meet]
+        apart = parity.apart(x, y)
+        near = 9 * apart <= size[x] + size[y]
+        x, y, apart = x[near], y[near], apart[near] / (size[x[near]] + size[y[near]])
+        if nearest:
+            x, y, apart = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([apart, apart])
+            by = np.lexsort((node[y], apart, node[x]))
+            by = by[np.diff(node[x[by]], prepend=~node[x[by[:1]]]) != 0]
+            x, y, apart = x[by], y[by], apart[by]
+        out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+        done += step
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return _distinct(*np.concatenate(out, axis=1))
+
+
+def _open_pairs(shared: DataFrame, roots: DataFrame, reps: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs u < v of sets that are in one group, may be near by their sizes and parities and have not one root.
+
+    nearest: of each set, in each task, only the pair that differs least by its parities. A group of over GROUP sets
+    is dealt as meetings of its blocks, two and two, so no task gets it whole.
+    """
+    rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    blocks = sizes.select("key", F.ceil(F.col("n") / GROUP).cast("long").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    meets = rooted.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    met = meets.select(
+        F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("key"), F.when(low == high, F.lit(-1)).otherwise(F.col("own")).cast("long").alias("part"), "node", "root"
+    ).join(reps.select("node", F.col("size").cast("long").alias("size"), "bits"), "node")
 
     def run(t: pa.Table) -> pa.Table:
-        h, node, size, root = (t[c].to_numpy() for c in ("h", "node", "size", "root"))
-        order = np.lexsort((size, h))
-        h, node, size, root = h[order], node[order], size[order], root[order]
-        starts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist()]
-        out: list[np.ndarray] = []
-        for a, b in zip(starts, [*starts[1:], len(h)]):
-            s, r = size[a:b], root[a:b]
-            if (r == r[0]).all():
-                continue
-            top = np.searchsorted(4 * s, 5 * s, "right")
-            for i in range(b - a):
-                j = np.arange(i + 1, top[i])
-                j = j[r[j] != r[i]]
-                if len(j):
-                    out.append(np.stack([np.minimum(node[a + j], node[a + i]), np.maximum(node[a + j], node[a + i])]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"u": pairs[0], "v": pairs[1]})
-
-    tasks = parts(shared.sparkSession)
-    return rooted.withColumn("at", F.pmod(F.xxhash64("h"), F.lit(tasks))).groupBy("at").applyInArrow(run, "u long, v long").distinct()
+        rows = [t[c].to_numpy() for c in ("key", "part", "node", "size", "root")]
+        u, v = _pairs_of_groups(*rows, t["bits"].to_pylist(), nearest)
+        return pa.table({"u": u, "v": v})
 
+    tasks = max(parts(shared.sparkSession), 4 * shared.count() // TASK_ROWS)
+    return met.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(tasks))).groupBy("at").applyInArrow(run, "u long, v long").distinct()
 
-def _near(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs u, v, those whose sets have intersection / union >= 4 / 5, counted. reps: node, size, bits, and id and copy of a row of docs.
 
-    What sizes and parities rule out is not counted.
-    """
+def _sifted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of the pairs u, v, those that sizes and parities don't rule out."""
     known = lambda n: reps.select(F.col("node").alias(n), F.struct("size", "bits").alias(f"{n}s"))
 
     def sift(it: Iterator[tuple]) -> Iterator[tuple]:
@@ -361,9 +444,15 @@ def _near(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
             if _may_be_near(x["size"], y["size"], np.frombuffer(x["bits"], np.uint8), np.frombuffer(y["bits"], np.uint8)):
                 yield u, v
 
-    pairs = cut(map_rows(pairs.join(known("u"), "u").join(known("v"), "v").select("u", "v", "us", "vs"), sift, "u long, v long"))
+    return map_rows(pairs.join(known("u"), "u").join(known("v"), "v").select("u", "v", "us", "vs"), sift, "u long, v long")
+
+
+def _near(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs u, v, those whose sets have intersection / union >= 4 / 5, counted. reps: node, and id and copy of a row of docs."""
+    pairs = cut(pairs)
+    n = pairs.count()  # at most two sets a pair; few pairs are few files
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rows = cut(reps.select("node", "id", "copy").join(asked, "node", "left_semi"))
+    rows = cut(reps.select("node", "id", "copy").join(asked, "node", "left_semi").coalesce(1 + n // TASK_ROWS))
     wanted = np.zeros(SLOTS, bool)
     wanted[[r[0] for r in rows.select(F.pmod("copy", F.lit(SLOTS))).distinct().collect()]] = True
 
@@ -374,7 +463,7 @@ def _near(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = map_rows(docs.select("doc_id", "_copy", "text"), run, "doc_id long, _copy long, s binary")
     found = texts.join(rows, texts["doc_id"].eqNullSafe(rows["id"]) & (texts["_copy"] == rows["copy"])).select("node", "s")
-    sets = cut(found.dropDuplicates(["node"]))
+    sets = cut(found.dropDuplicates(["node"]).coalesce(1 + n // TASK_SETS))
 
     def check(it: Iterator[tuple]) -> Iterator[tuple]:
         for u, v, a, b in it:
@@ -383,7 +472,7 @@ def _near(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                 yield u, v
 
     side = lambda n, s: sets.select(F.col("node").alias(n), F.col("s").alias(s))
-    return cut(map_rows(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b"), check, "u long, v long"))
+    return cut(map_rows(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b"), check, "u long, v long").coalesce(1 + n // TASK_SETS))
 
 
 def _near_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -396,10 +485,12 @@ def _near_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_copy")).alias("r"), F.first("size").alias("size"), F.first("bits").alias("bits"))
     reps = cut(reps.select("node", "size", "bits", F.col("r.doc_id").alias("id"), F.col("r._copy").alias("copy")))
     shared = cut(_shared(prints))
-    first = _near(_first_tries(prints, shared), reps, docs)
-    roots = components(first)
-    rest = _near(_open_pairs(shared, roots), reps, docs)
-    return prints.select("doc_id", "_copy", "node"), components(first.unionByName(rest))
+    found = _near(_sifted(_linked_prints(prints).unionByName(_hub_pairs(shared)).distinct(), reps), reps, docs)
+    roots = components(found)
+    for last in (*[False] * ROUNDS, True):
+        found = _near(_open_pairs(shared, roots, reps, nearest=not last), reps, docs)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
+    return prints.select("doc_id", "_copy", "node"), roots
 
 
 def heads(docs: DataFrame) -> DataFrame:
@@ -408,16 +499,16 @@ def heads(docs: DataFrame) -> DataFrame:
     Near are texts whose sets of five-word shingles have intersection / union of at least 4 / 5; a class holds
     what is near over any number of steps. The row is the one with the smallest doc_id, null last; of rows that
     share it, the one with the smallest hash of its text; of rows that share both, any one. docs: doc_id, text
-    and any columns but `_copy`. Texts without words are one class. A class of null doc_ids alone has its row
-    too. An empty table gives no rows.
+    and any other columns, whatever their names. Texts without words (null, empty, white space) are one class. A
+    class of null doc_ids alone has its row too. A text of any length is read whole. An empty table gives no rows.
     """
-    marked = docs.withColumn("_copy", F.xxhash64("text"))
-    prints, roots = _near_roots(marked)
+    own = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_copy")
+    prints, roots = _near_roots(docs.select(*own, "text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_copy")).alias("h")
     rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = cut(rooted.groupBy("root").agg(first).select(F.col("h.doc_id").alias("id"), F.col("h._copy").alias("copy")))
-    whole = marked.dropDuplicates(["doc_id", "_copy"])
-    return whole.join(chosen, whole["doc_id"].eqNullSafe(chosen["id"]) & (whole["_copy"] == chosen["copy"]), "left_semi").drop("_copy")
+    whole = docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).dropDuplicates(["doc_id", "_copy"])
+    return whole.join(chosen, whole["doc_id"].eqNullSafe(chosen["id"]) & (whole["_copy"] == chosen["copy"]), "left_semi").select("row.*")
 
 
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
