@@ -71,3 +71,32 @@ def polar(rows: DataFrame, dims: int, deviation: list[float]) -> DataFrame:
                 yield pd.DataFrame({"id": pdf["id"], "vec": list(z @ turn.T)})
 
     return rows.select("id", "vec").mapInPandas(run, "id long, vec array<double>")
+
+
+def half(x: Column) -> Column:
+    """A number as half precision holds it: 11 bits, half to even, small ones in steps of 2^-24."""
+    size = F.abs(x)
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(size, F.lit(1e-30)))), F.lit(-14)) - 10)
+    return F.when(size < 65520.0, F.rint(x / step) * step).when(x > 0, float("inf")).otherwise(float("-inf"))
+
+
+def halves(v: Column) -> Column:
+    return F.transform(vx.doubles(v), half)
+
+
+METHODS = ("fp16", "q8_0", "q4_0", "int8", "polarquant", "layer_delta")
+
+
+def round_trip(v: Column, method: str) -> Column:
+    """What a method that works row by row gives back of a vector. q4_0 is kept as q8_0, as that is faster to read; the
+    others need more than the row: see `polar` and `layer_delta`. An unknown method is an error."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+    if method in ("polarquant", "layer_delta"):
+        raise ValueError(f"{method} needs all rows of a document")
+    if method == "fp16":
+        return halves(v)
+    if method == "int8":
+        s = scale_int8(v)
+        return F.transform(codes(v, s), lambda c: c * half(s))
+    return F.slice(F.flatten(F.transform(q8_groups(v), lambda g: F.transform(g["codes"], lambda c: c * g["scale"]))), 1, F.size(v))

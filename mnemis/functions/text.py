@@ -52,9 +52,27 @@ def truncated(text: Column, n_bytes: int) -> Column:
 def context(prefix: Column, headers: Column, raw: Column) -> Column:
     """Prefix line, headers line, blank line, text; what is empty is left out."""
     head = F.concat_ws("\n", F.nullif(prefix, F.lit("")), F.nullif(F.array_join(headers, " > "), F.lit("")))
-    return F.when(head == "", F.trim(raw)).otherwise(F.concat(head, F.lit("\n\n"), F.trim(raw)))
+    return F.when(head == "", raw).otherwise(F.concat(head, F.lit("\n\n"), raw))
 
 
 def default_if_falsy(value: Column, default: float) -> Column:
     """value, or the default where it is null or zero."""
     return F.coalesce(F.nullif(value, F.lit(0).cast("double")), F.lit(default))
+
+
+def token_hash(tokens: Column) -> Column:
+    """SHA-256 of whole numbers as 32-bit little-endian bytes, marked as such; empty for no tokens."""
+    hexed = F.transform(tokens, lambda t: F.lpad(F.hex(t.cast("long")), 8, "0"))
+    little = F.transform(hexed, lambda h: F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1))))
+    return F.when(F.size(tokens) > 0, F.concat(F.lit("sha256:"), F.sha2(F.unhex(F.array_join(little, "")), 256))).otherwise("")
+
+
+def short_model_id(path: Column) -> Column:
+    """The model's name by its file: sizes that are known by name, else the first 15 characters."""
+    name = F.regexp_replace(path, r"^.*/", "")
+    return F.when(F.lower(name).contains("3b"), "Llama-3.2-3B").when(F.lower(name).contains("8b"), "Llama-3.1-8B").otherwise(F.substring(name, 1, 15))
+
+
+def first_of(entries: Column, keys: list[str], default: str | None = None) -> Column:
+    """The value of the first of the keys that a map has, as models name one thing under several prefixes; else the default."""
+    return F.coalesce(*(F.try_element_at(entries, F.lit(k)) for k in keys), F.lit(default))

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemis.functions import vector as vx
+
 
 def cells(rows: DataFrame, dims: int) -> DataFrame:
     """id, layer, dim, x of vectors read as layers of `dims` values."""
@@ -62,9 +67,49 @@ def project(pooled: DataFrame, basis: DataFrame) -> DataFrame:
     return pooled.join(F.broadcast(basis), "dim").groupBy("id", "comp").agg(F.sum(F.col("x") * F.col("b")).alias("x"))
 
 
-def gram(long: DataFrame) -> DataFrame:
-    """i, j, g: sum of x_i * x_j over all rows, i <= j, by partial sums of each row's products."""
-    rows = long.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("v"))
-    i = rows.select("id", "v", F.posexplode("v").alias("i", "xi"))
-    ij = i.select("i", "xi", F.posexplode("v").alias("j", "xj")).filter("i <= j")
-    return ij.groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("g"))
+def gram(rows: DataFrame) -> DataFrame:
+    """i, j, g: sum of x_i * x_j over all rows, i <= j. rows: vec, all of one dimension; null vectors take no part.
+
+    A task multiplies whole batches and sends its partial sums once, so the shuffle has dims squared values a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.array([np.asarray(v, np.float64) for v in pdf["vec"]])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pd.DataFrame({"i": i, "j": j, "g": total[i, j]})
+
+    parts = rows.filter(F.size("vec") > 0).select("vec").mapInPandas(run, "i int, j int, g double")
+    return parts.groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
+def fourier_rows(rows: DataFrame, frequencies: list[int], dims: int, n_layers: int, unit_layers: bool = False) -> DataFrame:
+    """`fourier` of vectors that are one row each, as layers of `dims` values, inside the row: no shuffle.
+
+    rows: id, vec. A frequency that so many layers don't have is an error."""
+    if max(frequencies) >= n_layers // 2 + 1:
+        raise ValueError(f"{n_layers} layers have no frequency {max(frequencies)}")
+    layers = vx.groups(vx.doubles(F.col("vec")), dims)
+    if unit_layers:
+        layers = F.transform(layers, lambda v: vx.unit(v))
+    out = rows.select("id", layers.alias("l"))
+
+    def size(f: int) -> Column:
+        part = lambda fn, d: F.aggregate(F.sequence(F.lit(0), F.lit(n_layers - 1)), F.lit(0.0), lambda a, k: a + F.get(F.get(F.col("l"), k), d) * fn(F.lit(2 * math.pi * f / n_layers) * k))
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.sqrt(part(F.cos, d) ** 2 + part(F.sin, d) ** 2))
+
+    each = out.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("freq"), size(f).alias("a")) for f in frequencies))).alias("s"))
+    return each.select("id", "s.freq", F.posexplode(vx.unit(F.col("s.a"))).alias("dim", "x"))
+
+
+def select_layers(long: DataFrame, n_layers: int, span: tuple[int, int] | None = None, listed: list[int] | None = None) -> DataFrame:
+    """Cells of the layers that are read: those of `span`, cut to what there is, else those listed that exist; all if that leaves none."""
+    if span is not None:
+        low = max(0, min(span[0], n_layers))
+        chosen = list(range(low, max(low, min(span[1], n_layers))))
+    else:
+        chosen = [x for x in listed or [] if x < n_layers]
+    return long.filter(F.col("layer").isin(chosen)) if chosen else long

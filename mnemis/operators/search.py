@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a corpus block and queries of a query block: what a task multiplies at once.
-BLOCK, ASKED = 16_384, 1024
+#: Vectors of a corpus block and queries of a query block, which meet in a task; queries multiplied at once.
+BLOCK, ASKED, AT_ONCE = 16_384, 16_384, 256
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -19,16 +19,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, weight: float = 0.5, threshold: float = 0.85) -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, weight: float = 0.5, threshold: float = 0.85, others: bool = False, n: int | None = None) -> DataFrame:
     """query_id, rank (from 0), id, score, margin: the k best of each query, ties to the smaller id.
 
     queries: query_id, vec and, at will, unlike (array of vectors): then a score loses `weight` times what its
     cosine to each of them exceeds `threshold`. corpus: id, vec. margin is the lead of the first over the second, 0
-    elsewhere, taken on k + 1 rows before the cut. A query in the corpus finds itself too. Rows are dealt into
-    blocks; each pair of blocks gives k + 1 rows a query, so what is shuffled doesn't grow with the pairs.
+    elsewhere, taken on k + 1 rows before the cut. A query in the corpus finds itself too, unless `others`: then
+    its own id is left out. n: the corpus' rows, if known. Null vectors, and those of another dimension than the
+    query's, take no part. Rows are dealt into blocks, a block of each side meets in a task and gives k + 1 rows a
+    query; up to ASKED queries the corpus is sent once. Both sides are counted first, so let them be tables.
     """
     negative = "unlike" in queries.columns
-    n, m = max(1, -(-corpus.count() // BLOCK)), max(1, -(-queries.count() // ASKED))
+    n = corpus.count() if n is None else n
+    n, m = max(1, -(-n // BLOCK)), max(1, -(-queries.count() // ASKED))
+    corpus, queries = corpus.filter(F.size("vec") > 0), queries.filter(F.size("vec") > 0)
     deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks))
     left = corpus.select(F.col("id").alias("id"), F.col("vec").alias("vec"), deal("id", n).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")).alias("q"))
     asked = queries.select(F.col("query_id").alias("query_id"), F.col("vec").alias("vec"), *([F.col("unlike").alias("unlike")] if negative else []), deal("query_id", m).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias("b"))
@@ -36,17 +40,23 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, w
 
     def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        if len(c) and len(q):
-            c = c.sort_values("id", kind="stable")
-            x, y, ids = _matrix(c["vec"]), _matrix(q["vec"]), c["id"].to_numpy()
+        c, dims, asks = c.sort_values("id", kind="stable"), c["vec"].map(len), q["vec"].map(len)
+        for d in {*dims} & {*asks}:
+            part, asked = c[dims.reindex(c.index) == d], q[asks == d]
+            x, ids = _matrix(part["vec"]), part["id"].to_numpy()
             units = _unit(x)
-            scores = _unit(y) @ units.T if cosine else y @ x.T
-            for i, qid in enumerate(q["query_id"].tolist()):
-                s = scores[i]
-                if negative and q["unlike"].iloc[i] is not None and len(q["unlike"].iloc[i]):
-                    s = s - weight * np.maximum(0, _unit(_matrix(q["unlike"].iloc[i])) @ units.T - threshold).sum(axis=0)
-                best = np.argsort(-s, kind="stable")[: k + 1]
-                rows += [(qid, j, v) for j, v in zip(ids[best].tolist(), s[best].tolist())]
+            for at in range(0, len(asked), AT_ONCE):
+                few = asked.iloc[at : at + AT_ONCE]
+                y = _matrix(few["vec"])
+                scores = _unit(y) @ units.T if cosine else y @ x.T
+                for i, qid in enumerate(few["query_id"].tolist()):
+                    s = scores[i]
+                    if negative and few["unlike"].iloc[i] is not None and len(few["unlike"].iloc[i]):
+                        s = s - weight * np.maximum(0, _unit(_matrix(few["unlike"].iloc[i])) @ units.T - threshold).sum(axis=0)
+                    if others:
+                        s = np.where(ids == qid, -np.inf, s)
+                    best = np.argsort(-s, kind="stable")[: k + 1]
+                    rows += [(qid, j, v) for j, v in zip(ids[best].tolist(), s[best].tolist()) if v > -np.inf]
         return pd.DataFrame(rows, columns=["query_id", "id", "score"])
 
     found = left.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInPandas(run, f"query_id {kind[1]}, id {kind[0]}, score double")
@@ -68,10 +78,14 @@ def active(versions: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def rebuilt(versions: DataFrame, removed: DataFrame) -> DataFrame:
-    """Active rows with new positions, gapless in the old order. Counted in ranges, so no task gets all rows."""
+    """Active rows with new positions, gapless in the old order. Counted in ranges, and ranges of ranges, so no task
+    gets all rows, nor all ranges but those of ranges of a hundred million positions."""
     kept = active(versions, removed).withColumn("_p", F.expr("position div 10000"))
-    before = kept.groupBy("_p").agg(F.count("*").alias("n"))
-    before = before.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))
+    before = kept.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_q", F.expr("_p div 10000"))
+    far = before.groupBy("_q").agg(F.sum("n").alias("m"))
+    far = far.select("_q", (F.sum("m").over(Window.orderBy("_q")) - F.col("m")).alias("_far"))
+    near = F.sum("n").over(Window.partitionBy("_q").orderBy("_p")) - F.col("n")
+    before = before.withColumn("_near", near).join(far, "_q").select("_p", (F.col("_near") + F.col("_far")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy("position")) - 1
     return kept.withColumn("_i", inside).join(before, "_p").withColumn("position", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 

@@ -72,19 +72,19 @@ _NEAR = f"""{_NV}, s AS (SELECT q.id AS query_id, c.id, list_dot_product(q.u, c.
 
 def _stages(limit: str, first: str = "SELECT id FROM nv WHERE id % 50 = 0", more: str = "", last: str = "") -> str:
     """Stages 1 to 3; limit: SQL of a query's tau, by query_id."""
-    return f"""WITH {_NV}, c AS (SELECT id, u FROM nv WHERE id % 50 <> 0), f AS (SELECT id FROM v WHERE flagged AND id % 50 <> 0 ORDER BY id LIMIT 4){more},
+    return f"""WITH {_NV}, c AS (SELECT id, u FROM nv), f AS (SELECT id FROM v WHERE flagged ORDER BY id LIMIT 5){more},
 a AS (SELECT q.id AS query_id, v.vec, {limit} AS tau FROM ({first}) q JOIN v USING (id)),
-s1 AS (SELECT query_id, tau, a.vec, c.id, list_dot_product(nq.u, c.u) AS score FROM a JOIN nv nq ON nq.id = query_id, c),
+s1 AS (SELECT query_id, tau, a.vec, c.id, list_dot_product(nq.u, c.u) AS score FROM a JOIN nv nq ON nq.id = query_id, c WHERE c.id <> query_id),
 r1 AS (SELECT *, row_number() OVER w AS n, score - lead(score) OVER w AS margin FROM s1 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)),
 t1 AS (SELECT * FROM r1 WHERE n = 1),
 o AS (SELECT query_id, tau, list_transform(range(1, 65), lambda i: t1.vec[i] * 0.7 + v.vec[i] * 0.3) AS m FROM t1 JOIN v ON v.id = t1.id WHERE margin < tau),
 o2 AS (SELECT query_id, tau, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS u FROM o),
-s2 AS (SELECT query_id, tau, o2.u AS qu, c.id, list_dot_product(o2.u, c.u) AS score FROM o2, c),
+s2 AS (SELECT query_id, tau, o2.u AS qu, c.id, list_dot_product(o2.u, c.u) AS score FROM o2, c WHERE c.id <> query_id),
 r2 AS (SELECT *, row_number() OVER w AS n, score - lead(score) OVER w AS margin FROM s2 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)),
 t2 AS (SELECT r2.*, v.flagged FROM r2 JOIN v ON v.id = r2.id WHERE n = 1),
-un AS (SELECT query_id, f.id AS uid, row_number() OVER (PARTITION BY query_id ORDER BY f.id) AS k FROM t2, f WHERE flagged AND f.id <> t2.id),
+un AS (SELECT query_id, f.id AS uid, row_number() OVER (PARTITION BY query_id ORDER BY f.id) AS k FROM t2, f WHERE flagged AND f.id <> t2.id AND f.id <> query_id),
 pen AS (SELECT query_id, c.id, sum(0.5 * greatest(0, list_dot_product(nu.u, c.u) - 0.25)) AS p FROM un JOIN nv nu ON nu.id = uid, c WHERE k <= 3 GROUP BY 1, 2),
-s3 AS (SELECT pen.query_id, tau, c.id, list_dot_product(t2.qu, c.u) - p AS score FROM pen JOIN t2 ON t2.query_id = pen.query_id JOIN c ON c.id = pen.id),
+s3 AS (SELECT pen.query_id, tau, c.id, list_dot_product(t2.qu, c.u) - p AS score FROM pen JOIN t2 ON t2.query_id = pen.query_id JOIN c ON c.id = pen.id WHERE c.id <> pen.query_id),
 r3 AS (SELECT *, row_number() OVER w AS n, score - lead(score) OVER w AS margin FROM s3 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)),
 al AS (SELECT query_id, id, score, margin, CASE WHEN margin >= 5 * tau THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, 1 AS stages_used, FALSE AS constraint_used FROM t1 WHERE margin >= tau
 UNION ALL SELECT query_id, id, score, margin, CASE WHEN margin >= tau THEN 'MEDIUM' ELSE 'LOW' END, 2, FALSE FROM t2 WHERE NOT flagged
@@ -97,8 +97,8 @@ sg AS (SELECT q, count(*) AS n_total, count(*) FILTER (low) AS n_low FROM lg GRO
 pg AS (SELECT q AS doc_a, r AS doc_b, count(*) AS n FROM lg WHERE wrong GROUP BY 1, 2),
 bg AS (SELECT doc_a AS q, doc_b AS partner, 0 AS side, n FROM pg UNION ALL SELECT doc_b, doc_a, 1, n FROM pg),
 kg AS (SELECT q, partner FROM bg QUALIFY row_number() OVER (PARTITION BY q ORDER BY side, n DESC, partner) <= 3),
-ch AS (SELECT nv.id, nv.u FROM nv JOIN sg ON sg.q = nv.id WHERE nv.id % 50 = 0 AND n_total >= 2 AND 2 * n_low > n_total AND EXISTS (SELECT 1 FROM kg JOIN c ON c.id = partner WHERE kg.q = nv.id)),
-p0 AS (SELECT ch.id AS query_id, c.id, sum(0.5 * greatest(0, list_dot_product(k.u, c.u) - 0.25)) AS p FROM ch JOIN kg ON kg.q = ch.id JOIN c k ON k.id = partner, c GROUP BY 1, 2),
+ch AS (SELECT nv.id, nv.u FROM nv JOIN sg ON sg.q = nv.id WHERE nv.id % 50 = 0 AND n_total >= 2 AND 2 * n_low > n_total AND EXISTS (SELECT 1 FROM kg JOIN c ON c.id = partner WHERE kg.q = nv.id AND partner <> nv.id)),
+p0 AS (SELECT ch.id AS query_id, c.id, sum(0.5 * greatest(0, list_dot_product(k.u, c.u) - 0.25)) AS p FROM ch JOIN kg ON kg.q = ch.id AND partner <> ch.id JOIN c k ON k.id = partner, c WHERE c.id <> ch.id GROUP BY 1, 2),
 s0 AS (SELECT query_id, c.id, list_dot_product(ch.u, c.u) - p AS score FROM p0 JOIN ch ON ch.id = query_id JOIN c ON c.id = p0.id),
 r0 AS (SELECT *, row_number() OVER w AS n, score - lead(score) OVER w AS margin FROM s0 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id))"""
 
@@ -114,7 +114,7 @@ ORACLES: dict[str, str] = {
         f"{_NV}, f AS (SELECT u AS fu FROM nv JOIN v USING (id) WHERE flagged ORDER BY id LIMIT 3), pe AS (SELECT id, sum(0.5 * greatest(0, list_dot_product(fu, u) - 0.1)) AS p FROM nv, f GROUP BY id), "
         "s AS (SELECT q.id AS query_id, c.id, list_dot_product(q.u, c.u) - p AS score FROM nv q, nv c JOIN pe ON pe.id = c.id WHERE q.id % 50 = 0)", 5, "query_id, rank, id, round(score, 6) AS score, round(margin, 6) AS margin"),
     "geodesic_stage1": _ranked(_scores(cosine=True), 1, "query_id, id, round(score, 6) AS score, CASE WHEN margin >= 2.5 THEN 'HIGH' WHEN margin >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence"),
-    "geodesic_full": _stages("0.01"),
+    "geodesic_stages": _stages("0.01"),
     "geodesic_prior": _stages(
         "0.01 * (1 + coalesce((SELECT n_low / n_total::DOUBLE FROM sg WHERE sg.q = query_id), 0))".replace("query_id", "v.id"),
         "SELECT id FROM nv WHERE id % 50 = 0 AND id NOT IN (SELECT id FROM ch)", _PRIOR_MORE,
@@ -125,7 +125,7 @@ x AS (SELECT query_id, rank, id, {_JACCARD('q.w', 'c.w')} AS word_part, CASE WHE
   FROM hits JOIN d q ON q.doc_id = query_id JOIN d c ON c.doc_id = id)
 SELECT query_id, rank, id, round(rest + word_part, 6) AS meta_score, round(word_part, 6) AS word_part FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rest + word_part, 12) DESC, rank) = 1""",
     "density_revalidate": f"""WITH {_NV}, s AS (SELECT q.id AS query_id, c.id, list_dot_product(q.u, c.u) AS score FROM nv q, nv c),
-n AS (SELECT * FROM s WHERE query_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 21),
+n AS (SELECT * FROM s WHERE query_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20),
 e AS (SELECT query_id AS id, count(*) FILTER (id <> query_id AND score > 0.25) AS density FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50) GROUP BY 1)
 SELECT query_id, id, round(score, 6) AS similarity, density, density > 3 AS confused FROM n JOIN e USING (id) WHERE id <> query_id AND score >= 0.25""",
     "fourier_fp": f"WITH {_V}, {_LONG} SELECT id, freq, dim, round(x, 6) AS x FROM {_fourier('lo', 8, False)}",
@@ -143,7 +143,7 @@ pj AS (SELECT id, comp, sum(x * b) AS x FROM de JOIN ba USING (dim) GROUP BY 1,
 SELECT id, comp, round(x / sqrt(held), 6) AS x, round(held / q, 6) AS scs FROM h JOIN sz USING (id)""",
     "gram_matrix": f"WITH {_V} SELECT CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(sum(vec[i] * vec[j]), 6) AS g FROM v, range(1, 65) t(i), range(1, 65) u(j) WHERE i <= j GROUP BY 1, 2",
     "quant_int8": f"WITH {_V}, s AS (SELECT id, vec, greatest({_BIG('vec')}, 1e-8) / 127 AS scale FROM v), c AS (SELECT id, scale, {_CODE('vec', 'scale')} AS codes FROM s) SELECT id, CAST(p - 1 AS INT) AS pos, codes[p] AS code, round(scale, 8) AS scale FROM (SELECT *, unnest(range(1, 65)) AS p FROM c)",
-    "dequant_error": f"WITH {_V}, s AS (SELECT id, vec, greatest({_BIG('vec')}, 1e-8) / 127 AS scale FROM v), c AS (SELECT id, vec, scale, {_CODE('vec', 'scale')} AS codes FROM s) SELECT id, round(list_sum(list_transform(range(1, 65), lambda i: (vec[i] - codes[i] * scale) ** 2)), 9) AS error, round(128.0::DOUBLE / 66, 6) AS ratio FROM c",
+    "dequant_error": f"WITH {_V}, s AS (SELECT id, vec, greatest({_BIG('vec')}, 1e-8) / 127 AS scale FROM v), c AS (SELECT id, vec, scale, {_CODE('vec', 'scale')} AS codes FROM s) SELECT id, round(list_sum(list_transform(range(1, 65), lambda i: (vec[i] - codes[i] * scale) ** 2)), 9) AS error, round(2.0 * len(vec) / (len(vec) + 2), 6) AS ratio FROM c",
     "quant_q8_0": f"WITH {_V}, g AS (SELECT id, CAST(k AS INT) AS grp, vec[32 * k + 1 : 32 * k + 32] AS x FROM v, range(2) t(k)), s AS (SELECT *, greatest({_BIG('x')} / 127, 1e-10) AS scale FROM g) SELECT id, grp, round(scale, 8) AS scale, CAST(list_sum({_CODE('x', 'scale')}) AS BIGINT) AS code_sum FROM s",
     "layer_delta_encode": f"WITH {_V}, {_LAYERS}, {_DELTA} SELECT id, layer, round(scale, 8) AS scale, CAST(list_sum(codes) AS BIGINT) AS code_sum FROM dc",
     "layer_delta_decode": f"WITH {_V}, {_LAYERS}, {_DELTA} SELECT id, layer, dim, round(sum(d) OVER (PARTITION BY id, dim ORDER BY layer), 6) AS x FROM (SELECT id, layer, CAST(i - 1 AS INT) AS dim, coalesce(codes[i] * scale, x[i]) AS d FROM dc, range(1, 9) t(i))",
@@ -173,7 +173,7 @@ count(*) FILTER (stages_used = 0) AS n_preempted, count(*) FILTER (correct) AS n
     "slug": f"SELECT p_partkey, {_SLUG(chr(39) + 'notes/' + chr(39) + ' || replace(p_name, ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + '_' + chr(39) + ') || ' + chr(39) + ' v2.md' + chr(39))} AS slug FROM part",
     "eng_filename": f"SELECT p_partkey, {_SLUG('p_name')} || CASE WHEN p_size % 3 > 1 THEN '_' || lpad(CAST(p_size + 1 AS VARCHAR), 3, '0') ELSE '' END || '_2026-04-02.eng' AS name FROM part",
     "model_family": "SELECT p_partkey, ['llama', 'phi', 'gemma', 'qwen', 'mistral', 'unknown'][p_partkey % 6 + 1] AS family FROM part",
-    "keyword_overlap": f"WITH k AS (SELECT doc_id, {_WORDS('substring(text, 1, 80)')} AS a, {_WORDS(chr(39) + 'the nation that was with the best of a this is on' + chr(39))} AS b FROM documents) SELECT doc_id, CAST(len(a) AS INT) AS n_words, round({_JACCARD('a', 'b')}, 6) AS overlap FROM k",
+    "keyword_overlap": f"WITH k AS (SELECT doc_id, {_WORDS('text')} AS a, {_WORDS(chr(39) + 'the nation that was with the best of a this is on' + chr(39))} AS b FROM documents) SELECT doc_id, CAST(len(a) AS INT) AS n_words, round({_JACCARD('a', 'b')}, 6) AS overlap FROM k",
     "text_truncate": "SELECT doc_id, max(CASE WHEN strlen(left(text, i)) <= 256 THEN strlen(left(text, i)) END) AS n_bytes FROM documents, range(257) t(i) GROUP BY 1",
     "conversation_markdown": "SELECT CAST(conv_id AS VARCHAR) AS source, sha256(string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10) ORDER BY turn)) AS hash FROM conversations GROUP BY 1",
     "last_session": f"WITH {_LOG} SELECT session_id, event_id, query_doc_id FROM l ORDER BY ts DESC, event_id DESC LIMIT 1",
@@ -195,4 +195,24 @@ ORACLES |= {
     "stream_sessions": f"""WITH {_LOG}, g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY query_doc_id ORDER BY ts, event_id)),
 k AS (SELECT *, sum(new) OVER (PARTITION BY query_doc_id ORDER BY ts, event_id) AS no FROM g)
 SELECT query_doc_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n, count(*) FILTER (correct) AS n_correct FROM k GROUP BY query_doc_id, no""",
+    "stream_sliding": f"WITH {_LOG} SELECT strftime(date_trunc('day', ts) - to_days(CAST(k AS INT)), '%Y-%m-%d') AS day, confidence, count(*) AS n, count(*) FILTER (NOT correct) AS n_wrong FROM l, range(2) t(k) GROUP BY 1, 2",
+    "stream_new_sources": f"WITH {_LOG} SELECT DISTINCT query_doc_id AS path, result_doc_id AS hash FROM l",
+    "geodesic_full": ORACLES["geodesic_prior"].rsplit("\nSELECT query_id, id, round(score, 6)", 1)[0] + f""",
+lo AS (SELECT query_id FROM al WHERE confidence = 'LOW'),
+k5 AS (SELECT query_id, c.id, list_dot_product(q.u, c.u) AS score FROM lo JOIN nv q ON q.id = query_id, c WHERE c.id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q.u, c.u) DESC, c.id) <= 5),
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k5),
+dm AS (SELECT doc_id, lang, coalesce(nullif(n_chars::DOUBLE, 0), 512.0) AS len, {_WORDS('substring(text, 1, 80)')} AS w FROM documents),
+sc AS (SELECT query_id, rank, id, {_JACCARD('q.w', 'd.w')} + CASE WHEN q.lang <> '' AND q.lang = d.lang THEN 0.3 ELSE 0 END + 1 - least(abs(q.len - d.len) / 8192, 1) + 1 AS meta
+  FROM kr JOIN dm q ON q.doc_id = query_id JOIN dm d ON d.doc_id = id),
+wo AS (SELECT query_id, id AS won FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(meta, 12) DESC, rank) = 1)
+SELECT query_id, coalesce(won, id) AS id, round(score, 6) AS score, round(margin, 6) AS margin, confidence, stages_used, constraint_used, won IS NOT NULL AS stage4_used FROM al LEFT JOIN wo USING (query_id)""",
+    "frequency_ablation": f"""WITH {_V}, {_LONG}, fr AS (SELECT id, freq, dim, a / greatest(sqrt(sum(a * a) OVER (PARTITION BY id, freq)), 1e-12) AS x FROM (
+  SELECT id, freq, dim, sqrt(sum(x * cos(2 * pi() * freq * layer / 8)) ** 2 + sum(x * sin(2 * pi() * freq * layer / 8)) ** 2) AS a FROM lo, (SELECT unnest([0, 1, 2, 3]) AS freq) GROUP BY 1, 2, 3)),
+fa AS (SELECT id, freq, list(x ORDER BY dim) AS a FROM fr GROUP BY 1, 2),
+dp AS (SELECT p.id AS query_id, c.id, p.freq, list_dot_product(p.a, c.a) AS s FROM fa p JOIN fa c USING (freq) WHERE p.id <> c.id),
+co AS (SELECT * FROM (VALUES ('f0', [0]), ('f1', [1]), ('f2', [2]), ('f0+f1', [0, 1]), ('f1+f2', [1, 2]), ('f1+f3', [1, 3]), ('f1+f2+f3', [1, 2, 3])) t(combo, fs)),
+s AS (SELECT combo, query_id, id, sum(s) / max(len(fs)) AS score FROM dp JOIN co ON list_contains(fs, freq) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER w AS n, score - lead(score) OVER w AS lead FROM s WINDOW w AS (PARTITION BY combo, query_id ORDER BY score DESC, id)),
+h AS (SELECT r.*, a.label = b.label AS ok FROM r JOIN v a ON a.id = r.query_id JOIN v b ON b.id = r.id WHERE n = 1)
+SELECT combo, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(lead), 6) AS mean_margin, round(min(lead), 6) AS min_margin, count(*) FILTER (NOT ok) AS n_failures FROM h GROUP BY 1""",
 }

@@ -17,7 +17,7 @@ from mnemis.functions import vector as vx
 from mnemis.functions.chunker import chunk_rows
 from mnemis.operators import fingerprint as fp
 from mnemis.operators import history, linalg, retrieve, search, store
-from mnemis.session import importable
+from mnemis.session import cut, importable
 from mnemis.sources import models
 from mnemis.streaming import history as live
 
@@ -61,7 +61,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return log_of(_t(spark, sf, "events"))
 
 
-def _r(c: str, name: str | None = None):
+def _r(c, name: str | None = None):
     return F.round(c, 6).alias(name or c)
 
 
@@ -137,25 +137,51 @@ def geodesic_stage1(spark, sf):
     return hits.select("query_id", "id", _r("score"), search.tier(F.col("margin"), F.lit(0.5)).alias("confidence"))
 
 
-def _others(spark, sf):
-    """Queries that are no members of the corpus, so stages beyond the first are reached."""
+@query
+def geodesic_stages(spark, sf):
+    """Stages 1 to 3 over all vectors but each query's own, so that later stages are reached."""
+    v = _vectors(spark, sf)
+    return retrieve.stages(_asked(v), v, TAU, threshold=RADIUS, others=True).select("query_id", "id", _r("score"), _r("margin"), "confidence", "stages_used", "constraint_used")
+
+
+def _prior_results(spark, sf):
     v = _vectors(spark, sf)
-    return _asked(v), v.filter(F.col("id") % EVERY != 0)
+    log = _log(spark, sf).withColumn("query_doc_id", F.expr("(event_id % 100) * 50")).withColumn("result_doc_id", F.expr("event_id % 400 + 1")).withColumn("confidence", F.when(F.expr("event_id % 3 = 0 or event_id % 100 < 10"), "low").otherwise("high"))
+    stats = history.doc_stats(log).select(F.col("query_doc_id").alias("query_id"), "n_total", "n_low")
+    partners = history.partners(history.confusions(log)).withColumnRenamed("query_doc_id", "query_id")
+    return retrieve.with_prior(_asked(v), v, stats, partners, TAU, threshold=RADIUS, others=True)
+
+
+@query
+def geodesic_prior(spark, sf):
+    return _prior_results(spark, sf).select("query_id", "id", _r("score"), _r("margin"), "confidence", "stages_used", "constraint_used")
 
 
 @query
 def geodesic_full(spark, sf):
-    asked, corpus = _others(spark, sf)
-    return retrieve.stages(asked, corpus, TAU, threshold=RADIUS).select("query_id", "id", _r("score"), _r("margin"), "confidence", "stages_used", "constraint_used")
+    """Stages 0 to 4: priors from events, metadata from documents."""
+    v = _vectors(spark, sf)
+    meta = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), F.col("n_chars").cast("double").alias("len"), F.lit(1.0).alias("norm"), F.col("text").alias("description"))
+    out = retrieve.with_metadata(_prior_results(spark, sf), _asked(v), v, meta, others=True)
+    return out.select("query_id", "id", _r("score"), _r("margin"), "confidence", "stages_used", "constraint_used", "stage4_used")
 
 
 @query
-def geodesic_prior(spark, sf):
-    asked, corpus = _others(spark, sf)
-    log = _log(spark, sf).withColumn("query_doc_id", F.expr("(event_id % 100) * 50")).withColumn("result_doc_id", F.expr("event_id % 400 + 1")).withColumn("confidence", F.when(F.expr("event_id % 3 = 0 or event_id % 100 < 10"), "low").otherwise("high"))
-    stats = history.doc_stats(log).select(F.col("query_doc_id").alias("query_id"), "n_total", "n_low")
-    partners = history.partners(history.confusions(log)).withColumnRenamed("query_doc_id", "query_id")
-    return retrieve.with_prior(asked, corpus, stats, partners, TAU, threshold=RADIUS).select("query_id", "id", _r("score"), _r("margin"), "confidence", "stages_used", "constraint_used")
+def frequency_ablation(spark, sf):
+    """Recall at 1 and margins for fingerprints of each combination of frequencies."""
+    v = _vectors(spark, sf)
+    parts = fp.fourier_rows(v, [0, 1, 2, 3], DIMS, LAYERS).groupBy("id", "freq").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("a"))
+    whole = cut(parts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("freq", "a"))).alias("f")).join(v.select("id", "label"), "id"))
+    n, out = whole.count(), None
+    for combo in ([0], [1], [2], [0, 1], [1, 2], [1, 3], [1, 2, 3]):
+        rows = whole.select("id", "label", F.flatten(F.array(*(F.col("f")[f] for f in combo))).alias("vec"))
+        two = search.top_k(rows.select(F.col("id").alias("query_id"), "vec"), rows, 2, cosine=True, others=True, n=n).filter("rank = 0")
+        two = two.join(rows.select("id", F.col("label").alias("dst")), "id").join(rows.select(F.col("id").alias("query_id"), F.col("label").alias("src")), "query_id")
+        right = (F.col("src") == F.col("dst")).cast("double")
+        one = two.agg(F.round(F.avg(right), 6).alias("recall"), F.round(F.avg("margin"), 6).alias("mean_margin"), F.round(F.min("margin"), 6).alias("min_margin"), F.count_if(right == 0).alias("n_failures"))
+        one = one.select(F.lit("+".join(f"f{f}" for f in combo)).alias("combo"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
@@ -191,12 +217,12 @@ def _long(spark, sf):
 
 @query
 def fourier_fp(spark, sf):
-    return fp.fourier(_long(spark, sf), [0, 1], LAYERS).select("id", "freq", "dim", _r("x"))
+    return fp.fourier_rows(_vectors(spark, sf), [0, 1], DIMS, LAYERS).select("id", "freq", "dim", _r("x"))
 
 
 @query
 def fourier_fp_v2(spark, sf):
-    return fp.fourier(_long(spark, sf), [0, 1], LAYERS, unit_layers=True).select("id", "freq", "dim", _r("x"))
+    return fp.fourier_rows(_vectors(spark, sf), [0, 1], DIMS, LAYERS, unit_layers=True).select("id", "freq", "dim", _r("x"))
 
 
 @query
@@ -252,8 +278,7 @@ def fcdb_project(spark, sf):
 
 @query
 def gram_matrix(spark, sf):
-    long = _vectors(spark, sf).select("id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    return fp.gram(long).select("i", "j", _r("g"))
+    return fp.gram(_vectors(spark, sf)).select("i", "j", _r("g"))
 
 
 def _layers(spark, sf):
@@ -273,7 +298,7 @@ def xkv_state(spark, sf):
 
 @query
 def corpus_basis(spark, sf):
-    b = linalg.corpus_basis(_vectors(spark, sf).select("id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.col("x").cast("double")), LAYERS * DIMS, 4)
+    b = linalg.corpus_basis(_vectors(spark, sf), LAYERS * DIMS, 4)
     return spark.createDataFrame([(c, d, round(float(x), 6)) for c, r in enumerate(b) for d, x in enumerate(r)], "comp int, dim int, x double")
 
 
@@ -307,7 +332,7 @@ def dequant_error(spark, sf):
     s = quant.scale_int8(F.col("vec"))
     v = _vectors(spark, sf).withColumn("scale", s).withColumn("codes", quant.codes(F.col("vec"), F.col("scale")))
     gap = F.zip_with(vx.doubles(F.col("vec")), "codes", lambda x, c: (x - c * F.col("scale")) ** 2)
-    return v.select("id", F.round(vx.total(gap), 9).alias("error"), F.round(F.lit(128.0 / (64 + 2)), 6).alias("ratio"))
+    return v.select("id", F.round(vx.total(gap), 9).alias("error"), F.round(2.0 * F.size("vec") / (F.size("vec") + 2), 6).alias("ratio"))
 
 
 @query
@@ -504,7 +529,7 @@ def model_family(spark, sf):
 
 @query
 def keyword_overlap(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("a"), F.lit("the nation that was with the best of a this is on").alias("b"))
+    d = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("a"), F.lit("the nation that was with the best of a this is on").alias("b"))
     return d.select("doc_id", F.size(tx.keywords(F.col("a"))).alias("n_words"), F.round(tx.jaccard(tx.keywords(F.col("a")), tx.keywords(F.col("b"))), 6).alias("overlap"))
 
 
@@ -647,22 +672,36 @@ def _folder(spark) -> str:
 
 @query
 def stream_doc_stats(spark, sf):
-    out = live.drained(live.running_stats(_stream(spark, sf)), _folder(spark))
+    out = live.drained(live.running_stats(_stream(spark, sf)), _folder(spark), ["query_doc_id"])
     return out.select("query_doc_id", "n_high", "n_medium", "n_low", _r("reliability"), _at("last_updated"))
 
 
 @query
 def stream_confusions(spark, sf):
-    out = live.drained(live.running_confusions(_stream(spark, sf)), _folder(spark))
+    out = live.drained(live.running_confusions(_stream(spark, sf)), _folder(spark), ["doc_a", "doc_b"])
     return out.select("doc_a", "doc_b", "n", _at("first_seen"), _at("last_seen"))
 
 
 @query
 def stream_windowed(spark, sf):
-    out = live.drained(live.windows(_stream(spark, sf)), _folder(spark))
+    out = live.drained(live.windows(_stream(spark, sf)), _folder(spark), ["window_start", "confidence"])
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "confidence", "n", "n_wrong")
+
+
+@query
+def stream_sliding(spark, sf):
+    """Windows of two days, a new one each day."""
+    out = live.drained(live.windows(_stream(spark, sf), "2 days", slide="1 day"), _folder(spark), ["window_start", "confidence"])
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "confidence", "n", "n_wrong")
 
 
+@query
+def stream_new_sources(spark, sf):
+    """Of log rows taken as files, each pair of path and hash once."""
+    files = _stream(spark, sf).select(F.col("query_doc_id").alias("path"), F.col("result_doc_id").alias("hash"), "ts")
+    return live.appended(live.new_sources(files), _folder(spark)).select("path", "hash")
+
+
 @query
 def stream_sessions(spark, sf):
     out = live.drained(live.sessions(_stream(spark, sf)), _folder(spark))

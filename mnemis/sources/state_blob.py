@@ -76,6 +76,44 @@ def decode(data: bytes, sections: list[Section]) -> Iterator[tuple[int, str, int
                 yield k, kind, layer, x.reshape(cells, s.n_heads, s.head_dim).transpose(1, 0, 2), positions
 
 
+def header(data: bytes, most: int = 5) -> dict:
+    """What a blob's first stream says of itself, without its matrices: architecture, streams, cells, layers, and the type and
+    row size of the keys of the first `most` layers. A short or odd blob gives what could be read, and an error."""
+    out: dict = {"size": len(data), "arch": None, "streams": None, "cells": None, "turned": None, "layers": None, "keys": [], "error": None}
+    b = _Bytes(data)
+    try:
+        (n,) = b.read("I")
+        out["arch"] = b.take(min(n, 100)).decode("utf-8", "replace")
+        (out["streams"],) = b.read("I")
+        (out["cells"],) = b.read("I")
+        for _ in range(out["cells"]):
+            b.take(4 * b.read("iI")[1])
+        turned, out["layers"] = b.read("II")
+        out["turned"] = bool(turned)
+        for _ in range(min(most, out["layers"])):
+            form, row = b.read("iQ")
+            out["keys"].append({"type": form, "row": row})
+            b.take(row * out["cells"])
+    except (ValueError, struct.error) as e:
+        out["error"] = str(e)
+    return out
+
+
+HEADER = "path string, size long, arch string, streams long, cells long, turned boolean, layers long, keys array<struct<type:int,row:long>>, error string"
+
+
+def headers_of(files: DataFrame) -> DataFrame:
+    """`header` of each file. files: path and content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in HEADER.split(", ")]
+        for pdf in batches:
+            rows = [{"path": path} | header(bytes(data)) for path, data in zip(pdf["path"], pdf["content"])]
+            yield pd.DataFrame([[r[n] for n in names] for r in rows], columns=names, dtype=object)
+
+    return files.select("path", "content").mapInPandas(run, HEADER)
+
+
 def encode(parts: list[tuple[np.ndarray, np.ndarray]], turned: bool = False, arch: bytes = b"llama") -> bytes:
     """A blob of sections (keys, values), each by layer, head, cell and dim."""
     out = [struct.pack("<I", len(arch)), arch, struct.pack("<I", len(parts))]

@@ -1,3 +1,4 @@
+import datetime
 import struct
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemis.functions import chunker, embed, quant
 from mnemis.functions import text as tx
 from mnemis.operators import fingerprint as fp
-from mnemis.operators import linalg, search, store
+from mnemis.operators import entries, knowledge, linalg, search, sessions, store
 from mnemis.sources import eng, state_blob
 from mnemis.streaming import history as live
 
@@ -67,9 +68,9 @@ def test_chunks():
     text = "# A\n\n" + "x" * 1500 + "\n\n## B\n\n" + "y" * 1500 + "\n\n" + "z" * 1500 + "\n\n\n\n### C\n" + "w" * 900
     out = chunker.chunks(text, 2000)
     assert all(a.end == b.start for a, b in zip(out, out[1:])) and (out[0].start, out[-1].end) == (0, len(text))
-    assert [c.headers for c in out][0] == ("A",) and ("A", "B", "C") in [c.headers for c in out] and all(c.end - c.start <= 2000 for c in out)
+    assert [c.headers for c in out][0] == ("# A",) and ("# A", "## B", "### C") in [c.headers for c in out] and all(c.end - c.start <= 2000 for c in out)
     tiny = chunker.chunks("# A\nx\n# B\ny\n# C\nz", 15)
-    assert len(tiny) == 2 and tiny[0].headers == ("A",)
+    assert len(tiny) == 2 and tiny[0].headers == ("# A",)
     assert len(chunker.chunks("v" * 3000, 2000)) == 1
 
 
@@ -92,9 +93,9 @@ def test_fourier_matches_numpy(spark):
 
 def test_corpus_basis_matches_svd(spark):
     x = np.random.default_rng(4).standard_normal((50, 5))
-    long = spark.createDataFrame([(i, d, float(x[i, d])) for i in range(50) for d in range(5)], "id long, dim int, x double")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, vec array<double>")
     want = np.linalg.svd(x, full_matrices=False)[2][:3]
-    assert np.allclose(np.abs(linalg.corpus_basis(long, 5, 3) @ want.T), np.eye(3), atol=1e-6)
+    assert np.allclose(np.abs(linalg.corpus_basis(rows, 5, 3) @ want.T), np.eye(3), atol=1e-6)
 
 
 def test_polar_error_bound(spark):
@@ -115,6 +116,143 @@ def test_search_blocks_and_ties(spark, monkeypatch):
     assert search.top_k(df.limit(0).withColumnRenamed("id", "query_id"), df, 4).count() == 0
 
 
+def test_search_leaves_out_nulls_other_dimensions_and_itself(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [1.0, 0.0, 0.0]), (5, []), (6, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    asked = df.withColumnRenamed("id", "query_id")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in search.top_k(asked, df, 5, cosine=True, others=True).collect()}
+    assert got == {(1, 0): 2, (1, 1): 6, (2, 0): 1, (2, 1): 6, (6, 0): 2, (6, 1): 1}
+    assert search.top_k(asked, df, 5).filter("query_id = 4").count() == 1
+
+
+def test_fourier_in_rows_matches_cells(spark):
+    x = np.random.default_rng(7).standard_normal((3, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    for unit in (False, True):
+        a, b = fp.fourier_rows(rows, [0, 2], 4, 6, unit), fp.fourier(fp.cells(rows, 4), [0, 2], 6, unit)
+        a, b = ({(r["id"], r["freq"], r["dim"]): r["x"] for r in d.collect()} for d in (a, b))
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    with pytest.raises(ValueError):
+        fp.fourier_rows(rows, [4], 4, 6)
+
+
+def test_chunks_as_before():
+    """Ranges with two characters for each break, and headers of nested parts named again, by hand."""
+    assert chunker.paragraphs("aaa\n\n\n\nbbb", 6, compat=True) == [(0, 5), (5, 10)]
+    assert chunker.paragraphs("aaa\n\n\n\nbbb", 6) == [(0, 7), (7, 10)]
+    text = "# A\n" + "x" * 30 + "\n## B\n" + "y" * 30 + "\n### C\n" + "z" * 30
+    assert [c.headers for c in chunker.chunks(text, 45, compat=True)] == [("# A",), ("# A", "## B", "## B"), ("# A", "## B", "## B", "### C")]
+    assert [c.headers for c in chunker.chunks(text, 45)] == [("# A",), ("# A", "## B"), ("# A", "## B", "### C")]
+
+
+def test_half_precision(spark):
+    x = np.concatenate([np.random.default_rng(8).standard_normal(300) * 10.0 ** np.arange(300 // 50).repeat(50) / 1000, [0.0, 1e-8, 6e-8, 65504.0, 65519.0, 65520.0, -70000.0, 1 / 3, 2.0**-14]])
+    got = spark.createDataFrame([(x.tolist(),)], "v array<double>").select(quant.halves(F.col("v")).alias("h")).first()["h"]
+    assert np.array_equal(np.array(got), x.astype(np.float16).astype(np.float64))
+
+
+def test_methods(spark):
+    v = np.random.default_rng(9).standard_normal(100)
+    df = spark.createDataFrame([(v.tolist(),)], "v array<double>")
+    for method, most in (("fp16", 1e-6), ("q8_0", 1e-2), ("q4_0", 1e-2), ("int8", 1e-2)):
+        back = np.array(df.select(quant.round_trip(F.col("v"), method).alias("b")).first()["b"])
+        assert len(back) == 100 and ((back - v) ** 2).sum() / (v**2).sum() < most
+    for method in ("zip", "polarquant"):
+        with pytest.raises(ValueError):
+            quant.round_trip(F.col("v"), method)
+
+
+def test_store(spark, tmp_path):
+    s = entries.Store(spark, f"{tmp_path}/s")
+    assert s.entries().count() == 0 and s.health().first()["n_entries"] == 0
+    row = lambda i, text: (str(i), text, [float(i), 1.0], None, f"f{i % 2}")
+    make = lambda rows: spark.createDataFrame(rows, "cache_id string, task_description string, vec array<double>, agent string, family string")
+    s.put(make([row(i, "old") for i in range(6)]), 1)
+    s.put(make([row(2, "new")]), 2)
+    ids = make([row(1, ""), row(2, "")])
+    s.delete(ids, 3)
+    s.put(make([row(1, "again")]), 4)
+    got = {r["cache_id"]: (r["task_description"], r["agent"], r["day"]) for r in s.entries().collect()}
+    assert got.keys() == {"0", "1", "3", "4", "5"} and got["1"] == ("again", "unknown", "unknown")
+    assert {(r["cache_id"], r["there"]) for r in s.exists(ids).collect()} == {("1", True), ("2", False)}
+    new = s.vacuum(f"{tmp_path}/t")
+    assert tuple(new.health().first()) == (5, 5, 0, 5)
+    hits = new.retrieve(spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, vec array<double>"), 2, where=F.col("family") == "f1").collect()
+    assert [r["cache_id"] for r in sorted(hits, key=lambda r: r["rank"])] == ["5", "3"]
+
+
+def test_containers(spark):
+    x = np.random.default_rng(10).standard_normal((2, 5, 3, 4))
+    cells = spark.createDataFrame([(d, "K", la, 0, c, x[d, la, c].tolist()) for d in range(2) for la in range(5) for c in range(3)], "doc long, kind string, layer int, head int, cell int, vec array<double>")
+    for method in ("fp16", "q8_0", "int8", "layer_delta"):
+        back = {(r["doc"], r["layer"], r["cell"]): r["vec"] for r in entries.decoded(entries.coded(cells, method)).collect()}
+        assert len(back) == 30 and all(np.abs(np.array(v) - x[k]).max() < 0.1 for k, v in back.items())
+    with pytest.raises(ValueError):
+        entries.coded(cells, "zip")
+
+
+def test_knowledge(spark, tmp_path):
+    (tmp_path / "a" / ".git").mkdir(parents=True)
+    for name, text in (("a/One Two.md", "# T\n\nhello"), ("a/b.md", "word " * 900), ("a/.git/c.md", "x"), ("a/LICENSE.md", "x"), ("a/d.md", ""), ("a/e.txt", "x")):
+        (tmp_path / name).write_text(text)
+    sources = knowledge.read_markdown(spark, str(tmp_path), "p")
+    assert sources.count() == 2 and [r["path"].rsplit("/")[-1] for r in knowledge.listed(spark, [str(tmp_path / "a"), str(tmp_path)], "*.txt").collect()] == ["e.txt"]
+    empty = spark.createDataFrame([], "path string, hash string, project string, file_size long, n_chunks long")
+    chunks, manifest = knowledge.index_sources(sources, empty, "2026-01-01")
+    rows = {r["cache_id"]: r for r in chunks.collect()}
+    assert rows["p/one-two"]["text"].endswith("One Two.md | Project: p\n\n# T\n\nhello") and rows["p/one-two"]["file_name"].endswith("_2026-01-01.eng")
+    store.save_manifest(manifest, f"{tmp_path}/m")
+    kept = store.load_manifest(spark, f"{tmp_path}/m", "path string, hash string, project string, file_size long, n_chunks long")
+    assert knowledge.index_sources(sources, kept, "2026-01-02")[0].count() == 0 and kept.count() == 2
+    assert knowledge.index_sources(sources, kept, "2026-01-02", force=True)[0].count() == len(rows)
+    assert store.load_manifest(spark, f"{tmp_path}/none", "path string").count() == 0
+    with pytest.raises(ValueError):
+        knowledge.build_index(chunks, "other")
+
+
+def test_sidecar_descriptions(spark):
+    certs = spark.createDataFrame([("a", "short"), ("b", "short"), ("c", "longer than that"), ("d", None)], "path string, task_description string").withColumn("cache_id", F.col("path")).withColumn("corrupt", F.lit(None).cast("string"))
+    side = spark.createDataFrame([("a", "a longer one", "s", "p", "h", 0, 1, None), ("b", "", "s", "p", "h", 0, 1, None), ("c", "less", "s", "p", "h", 0, 1, None)], "path string, task_description string, source_path string, project string, fp_source string, chunk_index int, chunk_total int, headers array<string>")
+    text = lambda longer: {r["path"]: r["task_description"] for r in knowledge.with_sidecars(certs, side, longer).collect()}
+    assert text(False) == {"a": "a longer one", "b": "short", "c": "less", "d": ""}
+    assert text(True) == {"a": "a longer one", "b": "short", "c": "longer than that", "d": ""}
+
+
+def test_sessions(spark, tmp_path):
+    log, ts = sessions.Log(spark, f"{tmp_path}/log"), datetime.datetime(2026, 1, 1)
+    for day, pairs in (("s1", [("a", "b", False), ("a", "a", True)]), ("s2", [("a", "b", False), ("c", "d", False)])):
+        s = sessions.Session(log, day)
+        for q, r, ok in pairs:
+            s.record(query_doc_id=q, result_doc_id=r, correct=ok, confidence="low", stages_used=1, ts=ts)
+        out = s.end().collect()
+        assert [(x["session_id"], x["n_total"], x["n_new_pairs"]) for x in out] == [(day, 2, 1)]
+    assert log.rows().count() == 4
+    docs = spark.createDataFrame([("a",), ("z",)], "query_doc_id string")
+    assert {r["query_doc_id"]: r["chronic"] for r in sessions.Session(log, "s3").priors(docs).collect()} == {"a": True, "z": False}
+    with pytest.raises(ValueError):
+        s.record(query_doc_id="a")
+
+
+def test_blob_header_of_odd_blobs():
+    x = np.zeros((7, 2, 3, 4))
+    head = state_blob.header(state_blob.encode([(x, x)]))
+    assert (head["arch"], head["streams"], head["cells"], head["layers"], len(head["keys"]), head["error"]) == ("llama", 1, 3, 7, 5, None)
+    assert state_blob.header(b"\x05\0\0\0ll")["error"] and state_blob.header(b"")["error"]
+
+
+def test_new_vectors_in_a_stream(spark, tmp_path):
+    x = np.zeros((12, 4))
+    x[:, 0] = 1.0
+    x[8:, 1] = np.arange(4) * 5 + 5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    rows.filter("id = 0").write.parquet(f"{tmp_path}/in")
+    seen = []
+    run = live.density_on_insert(lambda: rows, lambda df, _: seen.extend(df.collect()), 0.9)
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    stream.writeStream.option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    assert {r["id"] for r in seen} == set(range(1, 8)) and all(r["density"] == 7 and r["confused"] for r in seen)
+
+
 def test_embedder():
     assert np.array_equal(embed.hash_embed("a"), embed.hash_embed("a")) and abs(np.linalg.norm(embed.hash_embed("a", 256)) - 1) < 1e-5
 
