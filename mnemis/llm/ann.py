@@ -14,8 +14,8 @@ from mnemis.llm.common import map_rows, parts, short_batches, table
 
 #: Rows that the rotation is learned from; rows of an index block, at least and at most; queries of a query block.
 SAMPLE, LEAST_ROWS, INDEX_ROWS, QUERY_ROWS = 4096, 4096, 65_536, 16_384
-#: Bits of a code and of a substring, and the Hamming radius of a search.
-BITS, SUB, RADIUS = 64, 16, 28
+#: Bits of a code and of a substring; rows of the sample that are asked for their neighbours in it, and the share of those that the radius must hold.
+BITS, SUB, ASKED, HELD = 64, 16, 256, 0.97
 
 
 def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = 30) -> np.ndarray:
@@ -41,6 +41,19 @@ def codes_of(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
     return np.packbits((x @ rotation) >= 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def learn_radius(sample: np.ndarray, rotation: np.ndarray, k: int) -> int:
+    """The Hamming radius that holds HELD of the k nearest rows, within the sample. More rows lie nearer, so of a
+    larger table it holds no less."""
+    if len(sample) < 2:
+        return BITS
+    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    asked, codes = x[:ASKED], codes_of(x, rotation)
+    scores = asked @ x.T
+    scores[np.arange(len(asked)), np.arange(len(asked))] = -2
+    near = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
+    return int(np.quantile(np.bitwise_count(codes[near] ^ codes[: len(asked), None]), HELD, method="higher"))
+
+
 @lru_cache(maxsize=1)
 def _masks() -> tuple[np.ndarray, np.ndarray]:
     """All substring differences by number of bits, and how many have at most so many bits."""
@@ -128,13 +141,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     return out
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, radius: int = RADIUS, sample: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, radius: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows of each query, a row's own id left out.
 
     rows, queries: vec_id and embedding; other columns are left out. Null, empty or zero vectors, and those with
     null or non-finite components, take no part, nor rows without vec_id; the dimension is that of most rows,
-    and vectors of another take no part. Repeated rows count once for each query. The rotation is learned from
-    `sample` rows at most, those with the smallest hash of vec_id; every row is indexed. Rows are dealt into index
+    and vectors of another take no part. Repeated rows count once for each query. The rotation, and the radius
+    if none is given, are learned from `sample` rows at most, those with the smallest hash of vec_id; every row is indexed. Rows are dealt into index
     blocks and queries into query blocks, a block of each meet in a task, and the blocks' best are merged. Up to
     QUERY_ROWS queries a row is sent once. Candidates never leave their task, only k rows a query do. Extra columns
     and their names don't matter. Empty tables give no rows.
@@ -150,7 +163,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, radius: int = RADIU
     d, n = sizes[0]["d"], sizes[0]["n"]
     at, ask = (df.filter(F.size("embedding") == d) for df in clean)
     few = at.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    rotation = learn_rotation(np.array([r["embedding"] for r in few], np.float64))
+    some = np.array([r["embedding"] for r in few], np.float64)
+    rotation = learn_rotation(some)
+    radius = learn_radius(some, rotation, k) if radius is None else radius
     n_at, n_ask = max(1, -(-n // INDEX_ROWS), min(parts(spark), n // LEAST_ROWS)), max(1, -(-ask.count() // QUERY_ROWS))
 
     def pack(it: Iterator[tuple]) -> Iterator[tuple]:

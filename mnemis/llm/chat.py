@@ -61,7 +61,7 @@ def parse_turn(rendered: str, at: int = 0) -> tuple[str, str, int, int, int]:
     if end < 0:
         raise ValueError(f"no turn at {at}")
     body = rendered[head.end() : end]
-    if bad := _CONTROL.search(_UNDO.sub("", body) if head[2] else body):
+    if bad := _CONTROL.search(_UNDO.sub("\0", body) if head[2] else body):
         raise ValueError(f"control string {bad[0]!r} in the turn at {at}")
     return _role(head[1]), unescape(body) if head[2] else body, head.end(), end, end + len(END)
 
