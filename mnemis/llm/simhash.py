@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemis.llm.common import cut, map_rows, parts, short_batches, table
+from mnemis.llm.common import cut, map_rows, parts, short_batches, table, whole
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: Segments of the ring, from the low bits on. With 4 differing bits over 5 segments, a chain of l segments
@@ -27,6 +27,8 @@ STAGE_SHINGLE = 5
 SAMPLE, COMMON = 16, 1 << 18
 #: Bytes of listed shingles of a task, partners that a set is first tried with, and slots of the filter of wanted texts.
 LISTED_BYTES, FIRST_TRIES, SLOTS = 16 << 20, 4, 1 << 20
+#: Slots, a bit each, of the table that tells rows that are alone in their class.
+MARKS = 1 << 24
 #: Rounds in which each set is tried with its likeliest partner; sets of a group beyond which it is dealt in blocks.
 ROUNDS, GROUP = 2, 4096
 _ORDER = np.array([8 * (b // 8) + 7 - b % 8 for b in range(BITS)])
@@ -493,6 +495,16 @@ def _near_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prints.select("doc_id", "_copy", "node"), roots
 
 
+def _marks(rows: DataFrame, n: int) -> tuple[int, DataFrame]:
+    """How many slots, and word and bits of those that the _copy of a row falls on. rows: n, of classes of two rows or more.
+
+    A row whose slot has no mark is alone in its class. Slots are at most MARKS, so the table has a bound; beyond it,
+    more rows than need be are marked, which costs their exchange only."""
+    slots = min(MARKS, max(1 << 12, 1 << (16 * n).bit_length()))
+    words = rows.selectExpr(f"pmod(_copy, {slots}) div 64 as word", f"shiftleft(1L, cast(pmod(_copy, {slots}) % 64 as int)) as bit")
+    return slots, words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 def heads(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their classes of near copies, whole, one for each class.
 
@@ -501,14 +513,20 @@ def heads(docs: DataFrame) -> DataFrame:
     share it, the one with the smallest hash of its text; of rows that share both, any one. docs: doc_id, text
     and any other columns, whatever their names. Texts without words (null, empty, white space) are one class. A
     class of null doc_ids alone has its row too. A text of any length is read whole. An empty table gives no rows.
+    Rows that are alone in their class stay where they are; only those that may share one are exchanged, with their texts.
     """
     own = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_copy")
     prints, roots = _near_roots(docs.select(*own, "text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_copy")).alias("h")
     rooted = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    chosen = cut(rooted.groupBy("root").agg(first).select(F.col("h.doc_id").alias("id"), F.col("h._copy").alias("copy")))
-    whole = docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).dropDuplicates(["doc_id", "_copy"])
-    return whole.join(chosen, whole["doc_id"].eqNullSafe(chosen["id"]) & (whole["_copy"] == chosen["copy"]), "left_semi").select("row.*")
+    chosen = cut(rooted.groupBy("root").agg(first, F.count("*").alias("n")).select("root", "n", F.col("h.doc_id").alias("id"), F.col("h._copy").alias("copy")))
+    shared = chosen.filter("n > 1")
+    slots, words = _marks(rooted.join(shared.select("root"), "root", "left_semi"), shared.agg(F.sum("n")).first()[0] or 0)
+    marked = docs.select(*own, whole(docs).alias("row")).join(F.broadcast(words), F.expr(f"pmod(_copy, {slots}) div 64") == F.col("word"), "left")
+    there = F.expr(f"coalesce(shiftrightunsigned(bits, cast(pmod(_copy, {slots}) % 64 as int)) & 1L = 1L, false)")
+    tested = marked.filter(there).dropDuplicates(["doc_id", "_copy"])
+    tested = tested.join(chosen, tested["doc_id"].eqNullSafe(chosen["id"]) & (tested["_copy"] == chosen["copy"]), "left_semi")
+    return marked.filter(~there).select("row.*").unionByName(tested.select("row.*"))
 
 
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
