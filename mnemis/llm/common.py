@@ -57,9 +57,9 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def whole(df: DataFrame) -> Column:
-    """All columns of df as one struct, so that whatever their names, none meets a column that is added."""
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+def whole(df: DataFrame, but: str = "") -> Column:
+    """All columns of df, but for one perhaps, as one struct, so that whatever their names, none meets a column that is added."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c.lower() != but))
 
 
 def unpacked(df: DataFrame, row: str, added: list[str]) -> DataFrame:
