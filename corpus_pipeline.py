@@ -36,7 +36,7 @@ def _passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null, a null doc_id comes before all others, of repeated rows one stays whole, a text of any
     length is read whole. An empty table gives no rows.
     """
-    out = substring.remove_repeats(docs.select("doc_id", "text", whole(docs).alias("all")), carry=["all"])
+    out = substring.remove_repeats(docs.select("doc_id", "text", whole(docs, but="text").alias("all")), carry=["all"])
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return out.select(*(text.alias(c) if c.lower() == "text" else F.col("row")["all"].getField(c).alias(c) for c in docs.columns))
 
