@@ -2,24 +2,121 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a corpus block and queries of a query block, which meet in a task; queries multiplied at once.
-BLOCK, ASKED, AT_ONCE = 16_384, 16_384, 256
-
+#: Vectors of a corpus block and queries of a query block, which meet in a task. For more than so many tasks both
+#: blocks grow, up to so many times.
+BLOCK, ASKED, TASKS, GROWN = 16_384, 16_384, 256, 4
+#: Queries and vectors multiplied at once, vectors whose largest product is kept, queries at once in double precision,
+#: values multiplied again at once.
+AT_ONCE, WIDE, GROUP, SLOWLY, AGAIN = 256, 2048, 32, 64, 2**22
 
-def _matrix(rows: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(r, np.float64) for r in rows])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, weight: float = 0.5, threshold: float = 0.85, others: bool = False, n: int | None = None) -> DataFrame:
+def _blocks(n: int, m: int) -> tuple[int, int]:
+    """Blocks of n vectors and of m queries."""
+    n, m = max(1, -(-n // BLOCK)), max(1, -(-m // ASKED))
+    grown = min(GROWN, max(1.0, math.sqrt(n * m / TASKS)))
+    return math.ceil(n / grown), math.ceil(m / grown)
+
+
+def _of_size(rows: pa.Table, d: int) -> tuple[pa.Table, np.ndarray]:
+    """The rows whose vectors have d values, and these as a matrix."""
+    rows = rows.filter(pc.equal(pc.list_value_length(rows["vec"]), d))
+    values = pc.list_flatten(rows["vec"]).to_numpy()
+    return rows, values.astype(np.float64).reshape(-1, d)
+
+
+def _first_copies(x: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows that fewer than `most` equal rows precede."""
+    _, group = np.unique(np.ascontiguousarray(x).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    ordered = group[order]
+    return np.sort(order[np.arange(len(x)) - np.searchsorted(ordered, ordered) < most])
+
+
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; -inf if it has fewer."""
+    return np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(s), -np.inf, s.dtype)
+
+
+def nearest(y: np.ndarray, x: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray] | None = None, less: Callable[[slice, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores, k for each row of y, best first: its largest products with rows of x, ties to the earlier row. What isn't there scores -inf.
+
+    same: codes of y's and x's rows; pairs of equal codes are left out. less: gives what some rows of y lose against
+    rows of x. Tiles of products in single precision give the largest of each group of GROUP rows of x; in the groups
+    that by the error bound may hold one of the k best, products are made again in double precision, each pair alike, so
+    equal rows tie. With `less`, and with values that aren't finite, all is in double precision. Of equal rows of x only
+    the first can win, so large groups of them cost little.
+    """
+    places, scores = np.zeros((len(y), k), np.int64), np.full((len(y), k), -np.inf)
+    spare = k + (int(np.bincount(same[1]).max(initial=0)) if same else 0)
+    kept = _first_copies(x, spare)
+    x, n, d = x[kept], len(kept), x.shape[1]
+
+    def take(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> None:
+        """r: rows of y, with all that may win; c: rows of x, ascending in each."""
+        if same:
+            v[same[0][r] == same[1][kept[c]]] = -np.inf
+        order = np.lexsort((-v, r))
+        r, c, v = r[order], c[order], v[order]
+        j = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c, v, j = (t[j < k] for t in (r, c, v, j))
+        places[r, j], scores[r, j] = kept[c], v
+
+    if less is not None or not (np.isfinite(x).all() and np.isfinite(y).all()):
+        for i in range(0, len(y), SLOWLY):
+            s = y[i : i + SLOWLY] @ x.T
+            if less is not None:
+                s -= less(slice(i, i + len(s)), x)
+            s[np.isnan(s)] = -np.inf
+            r, c = np.nonzero(s >= _kth(s, spare)[:, None])
+            take(i + r, c, s[r, c])
+        return places, scores
+    size, most = np.linalg.norm(y, axis=1), max(np.linalg.norm(x, axis=1).max(initial=0), 1e-300)
+    error = np.where(size > 0, (d + 4) * 2.0**-24, 0).astype(np.float32)
+    a = (y / np.where(size > 0, size, 1)[:, None]).astype(np.float32)
+    groups = np.zeros((-(-n // WIDE) * WIDE // GROUP, GROUP, d), np.float32)
+    groups.reshape(-1, d)[:n] = x / most
+    # In a tile, place t * (groups of a tile) + g is row t of group g, so the largest are found by long rows.
+    tiles = np.ascontiguousarray(groups.reshape(-1, WIDE // GROUP, GROUP, d).transpose(0, 2, 1, 3)).reshape(-1, WIDE, d)
+    missing = (np.arange(WIDE).reshape(-1, GROUP).T.ravel() + (len(tiles) - 1) * WIDE) >= n
+    for i in range(0, len(y), AT_ONCE):
+        few = a[i : i + AT_ONCE]
+        top, s = np.empty((len(groups), len(few)), np.float32), np.empty((WIDE, len(few)), np.float32)
+        for j, tile in enumerate(tiles):
+            np.matmul(tile, few.T, out=s)
+            if j == len(tiles) - 1:
+                s[missing] = -np.inf
+            held = WIDE // GROUP
+            np.maximum.reduce(s.reshape(GROUP, held, -1), axis=0, out=top[j * held : (j + 1) * held])
+        top = np.ascontiguousarray(top.T)
+        floor = np.nextafter(_kth(top, spare) - 2 * error[i : i + AT_ONCE], np.float32(-np.inf))
+        r, g = np.nonzero(top >= floor[:, None])
+        # Rows are taken together while their groups are few.
+        low, ends = 0, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(few)))])
+        while low < len(few):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + AGAIN // (GROUP * d), "right")) - 1)
+            rows, held = r[ends[low] : ends[high]], g[ends[low] : ends[high]]
+            p, t = np.nonzero(np.matmul(groups[held], few[rows, :, None])[:, :, 0] >= floor[rows, None])
+            rows, c = rows[p] + i, held[p] * GROUP + t
+            rows, c, step, low = rows[c < n], c[c < n], max(1, AGAIN // d), high
+            take(rows, c, np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", y[rows[q : q + step]], x[c[q : q + step]]) for q in range(0, len(c), step))]))
+    return places, scores
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, weight: float = 0.5, threshold: float = 0.85, others: bool = False, n: int | None = None, views: dict[str, list[int]] | None = None) -> DataFrame:
     """query_id, rank (from 0), id, score, margin: the k best of each query, ties to the smaller id.
 
     queries: query_id, vec and, at will, unlike (array of vectors): then a score loses `weight` times what its
@@ -28,39 +125,52 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, w
     its own id is left out. n: the corpus' rows, if known. Null vectors, and those of another dimension than the
     query's, take no part. Rows are dealt into blocks, a block of each side meets in a task and gives k + 1 rows a
     query; up to ASKED queries the corpus is sent once. Both sides are counted first, so let them be tables.
+    views: names and places of components; then each search is made on those components alone, without `unlike`, and
+    column view has the name. Vectors travel once for all views.
     """
     negative = "unlike" in queries.columns
-    n = corpus.count() if n is None else n
-    n, m = max(1, -(-n // BLOCK)), max(1, -(-queries.count() // ASKED))
+    n, m = _blocks(corpus.count() if n is None else n, queries.count())
     corpus, queries = corpus.filter(F.size("vec") > 0), queries.filter(F.size("vec") > 0)
     deal = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks))
     left = corpus.select(F.col("id").alias("id"), F.col("vec").alias("vec"), deal("id", n).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")).alias("q"))
     asked = queries.select(F.col("query_id").alias("query_id"), F.col("vec").alias("vec"), *([F.col("unlike").alias("unlike")] if negative else []), deal("query_id", m).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias("b"))
     kind = dict(corpus.dtypes)["id"], dict(queries.dtypes)["query_id"]
 
-    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        c, dims, asks = c.sort_values("id", kind="stable"), c["vec"].map(len), q["vec"].map(len)
-        for d in {*dims} & {*asks}:
-            part, asked = c[dims.reindex(c.index) == d], q[asks == d]
-            x, ids = _matrix(part["vec"]), part["id"].to_numpy()
-            units = _unit(x)
-            for at in range(0, len(asked), AT_ONCE):
-                few = asked.iloc[at : at + AT_ONCE]
-                y = _matrix(few["vec"])
-                scores = _unit(y) @ units.T if cosine else y @ x.T
-                for i, qid in enumerate(few["query_id"].tolist()):
-                    s = scores[i]
-                    if negative and few["unlike"].iloc[i] is not None and len(few["unlike"].iloc[i]):
-                        s = s - weight * np.maximum(0, _unit(_matrix(few["unlike"].iloc[i])) @ units.T - threshold).sum(axis=0)
-                    if others:
-                        s = np.where(ids == qid, -np.inf, s)
-                    best = np.argsort(-s, kind="stable")[: k + 1]
-                    rows += [(qid, j, v) for j, v in zip(ids[best].tolist(), s[best].tolist()) if v > -np.inf]
-        return pd.DataFrame(rows, columns=["query_id", "id", "score"])
-
-    found = left.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInPandas(run, f"query_id {kind[1]}, id {kind[0]}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    def run(c: pa.Table, q: pa.Table) -> pa.Table:
+        found, c = [], c.take(pc.sort_indices(c["id"]))
+        sizes = [{*pc.unique(pc.list_value_length(t["vec"])).to_pylist()} for t in (c, q)]
+        for d in sizes[0] & sizes[1]:
+            (part, x), (few, y) = _of_size(c, d), _of_size(q, d)
+            unlike = few["unlike"].to_pylist() if negative else []
+            for view, at in (views or {"": None}).items():
+                xs, ys = (t if at is None else t[:, at] for t in (x, y))
+                xs, ys = (_unit(xs), _unit(ys)) if cosine else (xs, ys)
+                # A cosine of what isn't finite is no number.
+                ok = [np.flatnonzero(np.isfinite(t).all(axis=1)) if cosine else np.arange(len(t)) for t in (xs, ys)]
+                ids, asks = part["id"].take(pa.array(ok[0])), few["query_id"].take(pa.array(ok[1]))
+                xs, ys, same = xs[ok[0]], ys[ok[1]], None
+                if others:
+                    known = pc.unique(ids)
+                    same = tuple(pc.fill_null(pc.index_in(t.cast(known.type), known), -1).to_numpy().astype(np.int64) for t in (asks, ids))
+
+                def less(rows: slice, block: np.ndarray) -> np.ndarray:
+                    out, units = np.zeros((rows.stop - rows.start, len(block))), _unit(block)
+                    for i, at in enumerate(ok[1][rows]):  # noqa: B023
+                        if unlike[at]:  # noqa: B023
+                            out[i] = weight * np.maximum(0, _unit(np.array(unlike[at], np.float64)) @ units.T - threshold).sum(axis=0)  # noqa: B023
+                    return out
+
+                places, scores = nearest(ys, xs, k + 1, same, less if any(unlike) else None)
+                r, j = np.nonzero(scores > -np.inf)
+                out = [asks.take(pa.array(r)), ids.take(pa.array(places[r, j])), pa.array(scores[r, j]), *([pa.array([view] * len(r), pa.string())] if views else [])]
+                found.append(pa.table(out, names=names))
+        empty = pa.table([q["query_id"].slice(0, 0), c["id"].slice(0, 0), pa.array([], pa.float64()), *([pa.array([], pa.string())] if views else [])], names=names)
+        return pa.concat_tables([empty, *found])
+
+    key = ["query_id", *(["view"] if views else [])]
+    names = ["query_id", "id", "score", *key[1:]]
+    found = left.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(run, f"query_id {kind[1]}, id {kind[0]}, score double" + ", view string" * bool(views))
+    order = Window.partitionBy(*key).orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") <= k)
     lead = F.col("score") - F.lead("score").over(order)
     return ranked.withColumn("margin", F.when(F.col("rank") == 0, F.coalesce(lead, F.lit(0.0))).otherwise(0.0)).filter(F.col("rank") < k)

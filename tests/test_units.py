@@ -125,6 +125,39 @@ def test_search_leaves_out_nulls_other_dimensions_and_itself(spark):
     assert search.top_k(asked, df, 5).filter("query_id = 4").count() == 1
 
 
+def test_search_screen_loses_nothing(monkeypatch):
+    """Small tiles, copies, ties within single precision, vectors of zeros and infinite values, against all products."""
+    for name, v in (("AT_ONCE", 16), ("WIDE", 128), ("GROUP", 8), ("SLOWLY", 7), ("AGAIN", 600)):
+        monkeypatch.setattr(search, name, v)
+    r = np.random.default_rng(8)
+    for kind in range(5):
+        x = r.standard_normal((700, 6))
+        if kind == 1:
+            x[100:600] = x[3]
+        if kind == 2:
+            x[100:300] = x[3] * (1 + 1e-9 * r.random((200, 1)))
+        if kind == 3:
+            x = x.round(0)
+        y, own = x[::9].copy(), np.arange(0, 700, 9)
+        if kind == 3:
+            y[:5] = 0
+        if kind == 4:
+            x[5, 2] = np.inf
+        with np.errstate(invalid="ignore"):
+            want = np.stack([np.einsum("ij,ij->i", np.broadcast_to(q, x.shape), x) for q in y])
+        want[np.isnan(want) | (own[:, None] == np.arange(700))] = -np.inf
+        order = np.argsort(-want, axis=1, kind="stable")[:, :4]
+        places, scores = search.nearest(y, x, 4, (own, np.arange(700)))
+        assert (places == order).all() and np.allclose(scores, np.take_along_axis(want, order, 1))
+
+
+def test_search_blocks_stay_few():
+    """615,384 queries against as many vectors: tasks for 12 cores, not 38 times 38, nor each row 76 times in the shuffle."""
+    n, m = search._blocks(615_384, 615_384)
+    assert 48 <= n * m <= 2 * search.TASKS and n + m <= 34
+    assert search._blocks(102_564, 102_564) == (7, 7) and search._blocks(0, 0) == (1, 1)
+
+
 def test_fourier_in_rows_matches_cells(spark):
     x = np.random.default_rng(7).standard_normal((3, 24))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
