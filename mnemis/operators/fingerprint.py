@@ -86,8 +86,9 @@ def gram(rows: DataFrame) -> DataFrame:
     return parts.groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
-def fourier_rows(rows: DataFrame, frequencies: list[int], dims: int, n_layers: int, unit_layers: bool = False) -> DataFrame:
-    """`fourier` of vectors that are one row each, as layers of `dims` values, inside the row: no shuffle.
+def fourier_arrays(rows: DataFrame, frequencies: list[int], dims: int, n_layers: int, unit_layers: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns to keep, x: for each frequency an array of `dims` values; as `fourier` of vectors that are one row
+    each, as layers of `dims` values, inside the row: no shuffle.
 
     rows: id, vec. A frequency that so many layers don't have is an error."""
     if max(frequencies) >= n_layers // 2 + 1:
@@ -95,14 +96,20 @@ def fourier_rows(rows: DataFrame, frequencies: list[int], dims: int, n_layers: i
     layers = vx.groups(vx.doubles(F.col("vec")), dims)
     if unit_layers:
         layers = F.transform(layers, lambda v: vx.unit(v))
-    out = rows.select("id", layers.alias("l"))
+    out = rows.select("id", *keep, layers.alias("l"))
 
     def size(f: int) -> Column:
         part = lambda fn, d: F.aggregate(F.sequence(F.lit(0), F.lit(n_layers - 1)), F.lit(0.0), lambda a, k: a + F.get(F.get(F.col("l"), k), d) * fn(F.lit(2 * math.pi * f / n_layers) * k))
         return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.sqrt(part(F.cos, d) ** 2 + part(F.sin, d) ** 2))
 
-    each = out.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("freq"), size(f).alias("a")) for f in frequencies))).alias("s"))
-    return each.select("id", "s.freq", F.posexplode(vx.unit(F.col("s.a"))).alias("dim", "x"))
+    sizes = out.select("id", *keep, F.array(*(size(f) for f in frequencies)).alias("a"))
+    return sizes.select("id", *keep, F.transform("a", lambda a: vx.unit(a)).alias("x"))
+
+
+def fourier_rows(rows: DataFrame, frequencies: list[int], dims: int, n_layers: int, unit_layers: bool = False) -> DataFrame:
+    """id, freq, dim, x: `fourier_arrays`, a row for each value."""
+    each = fourier_arrays(rows, frequencies, dims, n_layers, unit_layers).select("id", F.explode(F.arrays_zip(F.array(*map(F.lit, frequencies)).alias("freq"), "x")).alias("s"))
+    return each.select("id", "s.freq", F.posexplode("s.x").alias("dim", "x"))
 
 
 def select_layers(long: DataFrame, n_layers: int, span: tuple[int, int] | None = None, listed: list[int] | None = None) -> DataFrame:

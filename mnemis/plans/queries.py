@@ -170,18 +170,12 @@ def geodesic_full(spark, sf):
 def frequency_ablation(spark, sf):
     """Recall at 1 and margins for fingerprints of each combination of frequencies."""
     v = _vectors(spark, sf)
-    parts = fp.fourier_rows(v, [0, 1, 2, 3], DIMS, LAYERS).groupBy("id", "freq").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("a"))
-    whole = cut(parts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("freq", "a"))).alias("f")).join(v.select("id", "label"), "id"))
-    n, out = whole.count(), None
-    for combo in ([0], [1], [2], [0, 1], [1, 2], [1, 3], [1, 2, 3]):
-        rows = whole.select("id", "label", F.flatten(F.array(*(F.col("f")[f] for f in combo))).alias("vec"))
-        two = search.top_k(rows.select(F.col("id").alias("query_id"), "vec"), rows, 2, cosine=True, others=True, n=n).filter("rank = 0")
-        two = two.join(rows.select("id", F.col("label").alias("dst")), "id").join(rows.select(F.col("id").alias("query_id"), F.col("label").alias("src")), "query_id")
-        right = (F.col("src") == F.col("dst")).cast("double")
-        one = two.agg(F.round(F.avg(right), 6).alias("recall"), F.round(F.avg("margin"), 6).alias("mean_margin"), F.round(F.min("margin"), 6).alias("min_margin"), F.count_if(right == 0).alias("n_failures"))
-        one = one.select(F.lit("+".join(f"f{f}" for f in combo)).alias("combo"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    whole = cut(fp.fourier_arrays(v, [0, 1, 2, 3], DIMS, LAYERS, keep=("label",)).select("id", "label", F.flatten("x").alias("vec")))
+    combos = {"+".join(f"f{f}" for f in c): [f * DIMS + d for f in c for d in range(DIMS)] for c in ([0], [1], [2], [0, 1], [1, 2], [1, 3], [1, 2, 3])}
+    two = search.top_k(whole.select(F.col("id").alias("query_id"), "vec"), whole, 2, cosine=True, others=True, n=whole.count(), views=combos).filter("rank = 0")
+    two = two.join(whole.select("id", F.col("label").alias("dst")), "id").join(whole.select(F.col("id").alias("query_id"), F.col("label").alias("src")), "query_id")
+    right = (F.col("src") == F.col("dst")).cast("double")
+    return two.groupBy(F.col("view").alias("combo")).agg(F.round(F.avg(right), 6).alias("recall"), F.round(F.avg("margin"), 6).alias("mean_margin"), F.round(F.min("margin"), 6).alias("min_margin"), F.count_if(right == 0).alias("n_failures"))
 
 
 @query

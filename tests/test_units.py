@@ -158,6 +158,17 @@ def test_search_blocks_stay_few():
     assert search._blocks(102_564, 102_564) == (7, 7) and search._blocks(0, 0) == (1, 1)
 
 
+def test_search_of_views_is_that_of_their_components(spark):
+    x = np.random.default_rng(9).standard_normal((60, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    views = {"a": [0, 1], "b": [1, 4, 5]}
+    got = search.top_k(df.withColumnRenamed("id", "query_id"), df, 3, cosine=True, others=True, views=views).collect()
+    for view, at in views.items():
+        part = spark.createDataFrame([(i, v[at].tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+        want = search.top_k(part.withColumnRenamed("id", "query_id"), part, 3, cosine=True, others=True).collect()
+        assert {(r["query_id"], r["rank"], r["id"], round(r["margin"], 9)) for r in want} == {(r["query_id"], r["rank"], r["id"], round(r["margin"], 9)) for r in got if r["view"] == view}
+
+
 def test_fourier_in_rows_matches_cells(spark):
     x = np.random.default_rng(7).standard_normal((3, 24))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
