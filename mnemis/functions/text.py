@@ -33,8 +33,8 @@ def family(model: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Distinct words of letters and digits, longer than two, in lower case, without stop words."""
-    words = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS)))
+    words = F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
 def jaccard(a: Column, b: Column) -> Column:

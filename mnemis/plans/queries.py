@@ -523,8 +523,9 @@ def model_family(spark, sf):
 
 @query
 def keyword_overlap(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("a"), F.lit("the nation that was with the best of a this is on").alias("b"))
-    return d.select("doc_id", F.size(tx.keywords(F.col("a"))).alias("n_words"), F.round(tx.jaccard(tx.keywords(F.col("a")), tx.keywords(F.col("b"))), 6).alias("overlap"))
+    # Words are a column, so they are found once a text.
+    d = _t(spark, sf, "documents").select("doc_id", tx.keywords(F.col("text")).alias("a"), tx.keywords(F.lit("the nation that was with the best of a this is on")).alias("b"))
+    return d.select("doc_id", F.size("a").alias("n_words"), F.round(tx.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
 @query

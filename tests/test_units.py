@@ -9,6 +9,7 @@ from mnemis.functions import chunker, embed, quant
 from mnemis.functions import text as tx
 from mnemis.operators import fingerprint as fp
 from mnemis.operators import entries, knowledge, linalg, search, sessions, store
+from mnemis.plans import queries as plans
 from mnemis.sources import eng, state_blob
 from mnemis.streaming import history as live
 
@@ -169,6 +170,16 @@ def test_search_of_views_is_that_of_their_components(spark):
         assert {(r["query_id"], r["rank"], r["id"], round(r["margin"], 9)) for r in want} == {(r["query_id"], r["rank"], r["id"], round(r["margin"], 9)) for r in got if r["view"] == view}
 
 
+def test_keywords_are_found_once_a_text(spark, tmp_path):
+    rows = [(1, "The cat, the CAT; a dog-house\n\u212aelvin na\u00efve 12 123 \u0130stanbul"), (2, ""), (3, None), (4, "  the of ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["w"] for r in df.select("doc_id", tx.keywords(F.col("text")).alias("w")).collect()}
+    assert got == {1: ["cat", "dog", "house", "kelvin", "123", "stanbul"], 2: [], 3: None, 4: []}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = plans.keyword_overlap(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(text") == 1
+
+
 def test_fourier_in_rows_matches_cells(spark):
     x = np.random.default_rng(7).standard_normal((3, 24))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
