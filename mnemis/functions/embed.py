@@ -17,22 +17,28 @@ def register(name: str, embed: Callable[[str], np.ndarray]) -> None:
     _REGISTRY[name] = embed
 
 
-def hash_embed(text: str, dim: int = 64) -> np.ndarray:
-    """Normal vector seeded by the first 8 hex digits of the text's SHA-256, to unit length."""
-    seed = int(hashlib.sha256(text.encode()).hexdigest()[:8], 16)
+def _seeded(seed: int, dim: int = 64) -> np.ndarray:
     v = np.random.RandomState(seed).randn(dim).astype(np.float32)
     return v / (np.linalg.norm(v) + 1e-8)
 
 
+def hash_embed(text: str, dim: int = 64) -> np.ndarray:
+    """Normal vector seeded by the first 8 hex digits of the text's SHA-256, to unit length."""
+    return _seeded(int(hashlib.sha256(text.encode()).hexdigest()[:8], 16), dim)
+
+
 register("hash", hash_embed)
 
 
 def embed(text: Column, name: str = "hash") -> Column:
-    """Vector of each text by a registered embedder; a null text has none."""
+    """Vector of each text by a registered embedder; a null text has none. For the hash embedder only seeds go to Python, no texts."""
     fn = _REGISTRY[name]
+    if fn is hash_embed:
+        seed = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 8), 16, 10).cast("long")
+        fn, text = lambda s: _seeded(int(s)), seed
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fn(t).tolist())
+        return texts.map(lambda t: None if pd.isna(t) else fn(t).tolist())
 
     return run(text)

@@ -180,6 +180,14 @@ def test_keywords_are_found_once_a_text(spark, tmp_path):
     assert plan.count("split(lower(text") == 1
 
 
+def test_hash_embedder_sends_no_texts(spark):
+    df = spark.createDataFrame([(1, "na\u00efve text"), (2, ""), (3, None)], "id long, text string")
+    out = df.select("id", embed.embed(F.col("text")).alias("vec"))
+    got = {r["id"]: r["vec"] for r in out.collect()}
+    assert got[3] is None and got[1] == embed.hash_embed("na\u00efve text").tolist() and got[2] == embed.hash_embed("").tolist()
+    assert "sha2" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fourier_in_rows_matches_cells(spark):
     x = np.random.default_rng(7).standard_normal((3, 24))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
