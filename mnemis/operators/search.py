@@ -17,7 +17,8 @@ BLOCK, ASKED, TASKS, GROWN = 16_384, 16_384, 256, 4
 #: Queries and vectors multiplied at once, vectors whose largest product is kept, queries at once in double precision,
 #: values multiplied again at once.
 AT_ONCE, WIDE, GROUP, SLOWLY, AGAIN = 256, 2048, 32, 64, 2**22
-
+#: Queries of a block at once in double precision, with what they find, and vectors copied at once.
+PART = 4096
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -31,11 +32,20 @@ def _blocks(n: int, m: int) -> tuple[int, int]:
     return math.ceil(n / grown), math.ceil(m / grown)
 
 
-def _of_size(rows: pa.Table, d: int) -> tuple[pa.Table, np.ndarray]:
-    """The rows whose vectors have d values, and these as a matrix."""
-    rows = rows.filter(pc.equal(pc.list_value_length(rows["vec"]), d))
-    values = pc.list_flatten(rows["vec"]).to_numpy()
-    return rows, values.astype(np.float64).reshape(-1, d)
+def _of_size(rows: pa.Table, d: int) -> pa.Table:
+    """The rows whose vectors have d values."""
+    fits = pc.equal(pc.list_value_length(rows["vec"]), d)
+    return rows if pc.all(fits, skip_nulls=False).as_py() else rows.filter(fits)
+
+
+def _matrix(rows: pa.Table, d: int, at: list[int] | None, unit: bool) -> np.ndarray:
+    """The vectors of d values, or their components `at`; unit: each divided by its length."""
+    x = np.empty((len(rows), d if at is None else len(at)))
+    for i in range(0, len(x), PART):
+        part = pc.list_flatten(rows["vec"].slice(i, PART)).to_numpy().astype(np.float64).reshape(-1, d)
+        part = part if at is None else part[:, at]
+        x[i : i + PART] = _unit(part) if unit else part
+    return x
 
 
 def _first_copies(x: np.ndarray, most: int) -> np.ndarray:
@@ -60,60 +70,73 @@ def nearest(y: np.ndarray, x: np.ndarray, k: int, same: tuple[np.ndarray, np.nda
     equal rows tie. With `less`, and with values that aren't finite, all is in double precision. Of equal rows of x only
     the first can win, so large groups of them cost little.
     """
-    places, scores = np.zeros((len(y), k), np.int64), np.full((len(y), k), -np.inf)
-    spare = k + (int(np.bincount(same[1]).max(initial=0)) if same else 0)
+    return _against(x, k, same[1] if same else None)(y, same[0] if same else None, less)
+
+
+def _against(x: np.ndarray, k: int, codes: np.ndarray | None = None) -> Callable[..., tuple[np.ndarray, np.ndarray]]:
+    """`nearest` for one x, as a function of y, codes of y's rows and less, which may be called for any number of y."""
+    spare = k + (int(np.bincount(codes).max(initial=0)) if codes is not None else 0)
     kept = _first_copies(x, spare)
-    x, n, d = x[kept], len(kept), x.shape[1]
-
-    def take(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> None:
-        """r: rows of y, with all that may win; c: rows of x, ascending in each."""
-        if same:
-            v[same[0][r] == same[1][kept[c]]] = -np.inf
-        order = np.lexsort((-v, r))
-        r, c, v = r[order], c[order], v[order]
-        j = np.arange(len(r)) - np.searchsorted(r, r)
-        r, c, v, j = (t[j < k] for t in (r, c, v, j))
-        places[r, j], scores[r, j] = kept[c], v
-
-    if less is not None or not (np.isfinite(x).all() and np.isfinite(y).all()):
-        for i in range(0, len(y), SLOWLY):
-            s = y[i : i + SLOWLY] @ x.T
-            if less is not None:
-                s -= less(slice(i, i + len(s)), x)
-            s[np.isnan(s)] = -np.inf
-            r, c = np.nonzero(s >= _kth(s, spare)[:, None])
-            take(i + r, c, s[r, c])
+    x, n, d = x if len(kept) == len(x) else x[kept], len(kept), x.shape[1]
+    finite = all(np.isfinite(x[i : i + PART]).all() for i in range(0, n, PART))
+    if finite:
+        most = max(*(np.linalg.norm(x[i : i + PART], axis=1).max() for i in range(0, n, PART)), 1e-300, 0)
+        groups = np.zeros((-(-n // WIDE) * WIDE // GROUP, GROUP, d), np.float32)
+        for i in range(0, n, PART):
+            groups.reshape(-1, d)[i : min(i + PART, n)] = x[i : i + PART] / most
+        # In a tile, place t * (groups of a tile) + g is row t of group g, so the largest are found by long rows.
+        tiles = np.ascontiguousarray(groups.reshape(-1, WIDE // GROUP, GROUP, d).transpose(0, 2, 1, 3)).reshape(-1, WIDE, d)
+        missing = (np.arange(WIDE).reshape(-1, GROUP).T.ravel() + (len(tiles) - 1) * WIDE) >= n
+
+    def found(y: np.ndarray, asks: np.ndarray | None = None, less: Callable[[slice, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        places, scores = np.zeros((len(y), k), np.int64), np.full((len(y), k), -np.inf)
+
+        def take(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> None:
+            """r: rows of y, with all that may win; c: rows of x, ascending in each."""
+            if codes is not None:
+                v[asks[r] == codes[kept[c]]] = -np.inf
+            order = np.lexsort((-v, r))
+            r, c, v = r[order], c[order], v[order]
+            j = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c, v, j = (t[j < k] for t in (r, c, v, j))
+            places[r, j], scores[r, j] = kept[c], v
+
+        if less is not None or not (finite and np.isfinite(y).all()):
+            for i in range(0, len(y), SLOWLY):
+                s = y[i : i + SLOWLY] @ x.T
+                if less is not None:
+                    s -= less(slice(i, i + len(s)), x)
+                s[np.isnan(s)] = -np.inf
+                r, c = np.nonzero(s >= _kth(s, spare)[:, None])
+                take(i + r, c, s[r, c])
+            return places, scores
+        size = np.linalg.norm(y, axis=1)
+        error = np.where(size > 0, (d + 4) * 2.0**-24, 0).astype(np.float32)
+        a = (y / np.where(size > 0, size, 1)[:, None]).astype(np.float32)
+        for i in range(0, len(y), AT_ONCE):
+            few = a[i : i + AT_ONCE]
+            top, s = np.empty((len(groups), len(few)), np.float32), np.empty((WIDE, len(few)), np.float32)
+            for j, tile in enumerate(tiles):
+                np.matmul(tile, few.T, out=s)
+                if j == len(tiles) - 1:
+                    s[missing] = -np.inf
+                held = WIDE // GROUP
+                np.maximum.reduce(s.reshape(GROUP, held, -1), axis=0, out=top[j * held : (j + 1) * held])
+            top = np.ascontiguousarray(top.T)
+            floor = np.nextafter(_kth(top, spare) - 2 * error[i : i + AT_ONCE], np.float32(-np.inf))
+            r, g = np.nonzero(top >= floor[:, None])
+            # Rows are taken together while their groups are few.
+            low, ends = 0, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(few)))])
+            while low < len(few):
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + AGAIN // (GROUP * d), "right")) - 1)
+                rows, held = r[ends[low] : ends[high]], g[ends[low] : ends[high]]
+                p, t = np.nonzero(np.matmul(groups[held], few[rows, :, None])[:, :, 0] >= floor[rows, None])
+                rows, c = rows[p] + i, held[p] * GROUP + t
+                rows, c, step, low = rows[c < n], c[c < n], max(1, AGAIN // d), high
+                take(rows, c, np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", y[rows[q : q + step]], x[c[q : q + step]]) for q in range(0, len(c), step))]))
         return places, scores
-    size, most = np.linalg.norm(y, axis=1), max(np.linalg.norm(x, axis=1).max(initial=0), 1e-300)
-    error = np.where(size > 0, (d + 4) * 2.0**-24, 0).astype(np.float32)
-    a = (y / np.where(size > 0, size, 1)[:, None]).astype(np.float32)
-    groups = np.zeros((-(-n // WIDE) * WIDE // GROUP, GROUP, d), np.float32)
-    groups.reshape(-1, d)[:n] = x / most
-    # In a tile, place t * (groups of a tile) + g is row t of group g, so the largest are found by long rows.
-    tiles = np.ascontiguousarray(groups.reshape(-1, WIDE // GROUP, GROUP, d).transpose(0, 2, 1, 3)).reshape(-1, WIDE, d)
-    missing = (np.arange(WIDE).reshape(-1, GROUP).T.ravel() + (len(tiles) - 1) * WIDE) >= n
-    for i in range(0, len(y), AT_ONCE):
-        few = a[i : i + AT_ONCE]
-        top, s = np.empty((len(groups), len(few)), np.float32), np.empty((WIDE, len(few)), np.float32)
-        for j, tile in enumerate(tiles):
-            np.matmul(tile, few.T, out=s)
-            if j == len(tiles) - 1:
-                s[missing] = -np.inf
-            held = WIDE // GROUP
-            np.maximum.reduce(s.reshape(GROUP, held, -1), axis=0, out=top[j * held : (j + 1) * held])
-        top = np.ascontiguousarray(top.T)
-        floor = np.nextafter(_kth(top, spare) - 2 * error[i : i + AT_ONCE], np.float32(-np.inf))
-        r, g = np.nonzero(top >= floor[:, None])
-        # Rows are taken together while their groups are few.
-        low, ends = 0, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(few)))])
-        while low < len(few):
-            high = max(low + 1, int(np.searchsorted(ends, ends[low] + AGAIN // (GROUP * d), "right")) - 1)
-            rows, held = r[ends[low] : ends[high]], g[ends[low] : ends[high]]
-            p, t = np.nonzero(np.matmul(groups[held], few[rows, :, None])[:, :, 0] >= floor[rows, None])
-            rows, c = rows[p] + i, held[p] * GROUP + t
-            rows, c, step, low = rows[c < n], c[c < n], max(1, AGAIN // d), high
-            take(rows, c, np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", y[rows[q : q + step]], x[c[q : q + step]]) for q in range(0, len(c), step))]))
-    return places, scores
+
+    return found
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, weight: float = 0.5, threshold: float = 0.85, others: bool = False, n: int | None = None, views: dict[str, list[int]] | None = None) -> DataFrame:
@@ -138,32 +161,36 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, w
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
         found, c = [], c.take(pc.sort_indices(c["id"]))
+        # A cosine of what isn't finite is no number.
+        fit = lambda t: np.flatnonzero(np.isfinite(t).all(axis=1)) if cosine else np.arange(len(t))
         sizes = [{*pc.unique(pc.list_value_length(t["vec"])).to_pylist()} for t in (c, q)]
         for d in sizes[0] & sizes[1]:
-            (part, x), (few, y) = _of_size(c, d), _of_size(q, d)
-            unlike = few["unlike"].to_pylist() if negative else []
+            part, few = _of_size(c, d), _of_size(q, d)
             for view, at in (views or {"": None}).items():
-                xs, ys = (t if at is None else t[:, at] for t in (x, y))
-                xs, ys = (_unit(xs), _unit(ys)) if cosine else (xs, ys)
-                # A cosine of what isn't finite is no number.
-                ok = [np.flatnonzero(np.isfinite(t).all(axis=1)) if cosine else np.arange(len(t)) for t in (xs, ys)]
-                ids, asks = part["id"].take(pa.array(ok[0])), few["query_id"].take(pa.array(ok[1]))
-                xs, ys, same = xs[ok[0]], ys[ok[1]], None
-                if others:
-                    known = pc.unique(ids)
-                    same = tuple(pc.fill_null(pc.index_in(t.cast(known.type), known), -1).to_numpy().astype(np.int64) for t in (asks, ids))
-
-                def less(rows: slice, block: np.ndarray) -> np.ndarray:
-                    out, units = np.zeros((rows.stop - rows.start, len(block))), _unit(block)
-                    for i, at in enumerate(ok[1][rows]):  # noqa: B023
-                        if unlike[at]:  # noqa: B023
-                            out[i] = weight * np.maximum(0, _unit(np.array(unlike[at], np.float64)) @ units.T - threshold).sum(axis=0)  # noqa: B023
-                    return out
-
-                places, scores = nearest(ys, xs, k + 1, same, less if any(unlike) else None)
-                r, j = np.nonzero(scores > -np.inf)
-                out = [asks.take(pa.array(r)), ids.take(pa.array(places[r, j])), pa.array(scores[r, j]), *([pa.array([view] * len(r), pa.string())] if views else [])]
-                found.append(pa.table(out, names=names))
+                xs = _matrix(part, d, at, cosine)
+                ok = fit(xs)
+                ids, xs = part["id"].take(pa.array(ok)), xs if len(ok) == len(xs) else xs[ok]
+                known = pc.unique(ids) if others else None
+                code = lambda t: pc.fill_null(pc.index_in(t.cast(known.type), known), -1).to_numpy().astype(np.int64)  # noqa: B023, E731
+                seek = _against(xs, k + 1, code(ids) if others else None)
+                # Queries go by parts, so of a block only the rows that came and those found are held as a whole.
+                for i in range(0, len(few), PART):
+                    some = few.slice(i, PART)
+                    ys = _matrix(some, d, at, cosine)
+                    ok = fit(ys)
+                    asks, unlike = some["query_id"].take(pa.array(ok)), some["unlike"].take(pa.array(ok)).to_pylist() if negative else []
+
+                    def less(rows: slice, block: np.ndarray) -> np.ndarray:
+                        out, units = np.zeros((rows.stop - rows.start, len(block))), _unit(block)
+                        for j, far in enumerate(unlike[rows]):  # noqa: B023
+                            if far:
+                                out[j] = weight * np.maximum(0, _unit(np.array(far, np.float64)) @ units.T - threshold).sum(axis=0)
+                        return out
+
+                    places, scores = seek(ys if len(ok) == len(ys) else ys[ok], code(asks) if others else None, less if any(unlike) else None)
+                    r, j = np.nonzero(scores > -np.inf)
+                    out = [asks.take(pa.array(r)), ids.take(pa.array(places[r, j])), pa.array(scores[r, j]), *([pa.array([view] * len(r), pa.string())] if views else [])]
+                    found.append(pa.table(out, names=names))
         empty = pa.table([q["query_id"].slice(0, 0), c["id"].slice(0, 0), pa.array([], pa.float64()), *([pa.array([], pa.string())] if views else [])], names=names)
         return pa.concat_tables([empty, *found])
 

@@ -1,9 +1,12 @@
 import datetime
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from mnemis.functions import chunker, embed, quant
 from mnemis.functions import text as tx
@@ -159,6 +162,31 @@ def test_search_blocks_stay_few():
     assert search._blocks(102_564, 102_564) == (7, 7) and search._blocks(0, 0) == (1, 1)
 
 
+def test_search_task_holds_few_queries_at_once(spark, monkeypatch):
+    """Eight times the queries of a block, and numpy's part of a task's memory is no larger; a block of several parts finds what single queries do."""
+    tasks, send = [], PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: tasks.append(f) or send(self, f, schema))
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<float>")
+    search.top_k(df.withColumnRenamed("id", "query_id"), df, 20, cosine=True)
+    x = np.random.default_rng(10).standard_normal((32_768, 16)).astype(np.float32)
+    x[7, 3], x[5000, 3] = np.nan, np.inf
+    table = lambda name, n: pa.table({name: np.arange(n), "vec": pa.array(list(x[:n]), pa.list_(pa.float32()))})
+    corpus, held = table("id", 3000), {}
+    for n in (4096, 32_768):
+        asked = table("query_id", n)
+        tracemalloc.start()
+        out = tasks[0](corpus, asked)
+        held[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == 21 * (n - 1 - (n > 5000))
+    # What is found stays in arrays of numpy's: 24 bytes a row.
+    assert held[32_768] - 24 * 21 * (32_768 - 4096) < 1.2 * held[4096]
+    got = out.to_pandas().groupby("query_id")[["id", "score"]].agg(list)
+    for q in (0, 4095, 4096, 20_000, 32_767):
+        one = tasks[0](corpus, asked.slice(q, 1)).to_pydict()
+        assert one["id"] == got.loc[q, "id"] and one["score"] == got.loc[q, "score"]
+
+
 def test_search_of_views_is_that_of_their_components(spark):
     x = np.random.default_rng(9).standard_normal((60, 6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
